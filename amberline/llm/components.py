@@ -1,0 +1,38 @@
+"""Connected components of a graph of long ids, in rounds of joins and grouped minima."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from amberline.llm.common import materialise
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node links its larger neighbours to the smallest of its neighbours and itself."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node links its smaller neighbours and itself to the smallest of them. Edges have a > b here."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    linked = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return linked.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node of its component) for each node of edges (a, b) that is not a root itself.
+
+    Alternates large and small stars, whose rounds grow with the logarithm of a component's size, until nothing changes.
+    Each round is written and read again. Edges may repeat or point both ways; loops count for nothing; no edges give no
+    rows.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, seen = materialise(edges, "edges"), None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges, seen = materialise(_small_star(_large_star(edges)), "edges"), now

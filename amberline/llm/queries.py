@@ -6,18 +6,51 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from amberline.llm import prefix_bpe
+from amberline.llm import grace_dedup, language_id, prefix_bpe, simhash, token_files
 from amberline.llm.common import table
 
+WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), WORD_BPE_END)
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.membership(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.membership(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.evaluated(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op4_grace_dedup": op4_grace_dedup,
+    "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_language_id": op8_language_id,
+}
+ORACLE: dict[str, str] = {
+    "op4_grace_dedup": """
+        SELECT doc_id,
+               max(doc_id) OVER same AS keep_id,
+               CAST(count(*) OVER same AS BIGINT) AS group_size,
+               doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
 }
-ORACLE: dict[str, str] = {}
