@@ -1,14 +1,15 @@
 """Language identification by compression.
 
 Each language has a zstandard dictionary of raw content: pieces of texts that are labelled with it. A text is lower-cased,
-cut into chunks, and every chunk of it is compressed with each dictionary; the language whose sum of sizes is smallest is
-predicted. The dictionaries are fitted on a bounded sample of labelled rows; prediction reads whole texts and nothing
+all that is not letters becomes single spaces, and it is cut into chunks. Every chunk is compressed with each
+dictionary; the language whose sum of sizes is smallest is predicted. The dictionaries are fitted on a bounded sample of labelled rows; prediction reads whole texts and nothing
 else.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 from amberline.llm.common import id_and_text
 
 #: The sample: labelled documents for a language, pieces of each (spread evenly over it) and bytes of a piece.
-SAMPLE_DOCS, SAMPLE_PIECES, PIECE_BYTES = 400, 3, 256
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_BYTES = 1200, 3, 100
 #: More languages than this are refused: their dictionaries have to fit in every worker.
-MOST_LANGUAGES = 256
-CHUNK_BYTES, LEVEL = 2048, 3
+MOST_LANGUAGES = 64
+CHUNK_BYTES, LEVEL = 2048, 5
+#: A chunk below this size is compressed three times over in a row: so short, it may not compress at all by itself.
+SHORT_BYTES = 256
 #: What a byte of difference says, in nats; and the score below which a prediction is rejected.
 NATS_A_BYTE, LEAST_SCORE = 0.25, 0.4
 UNKNOWN = "und"
@@ -46,13 +49,12 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     # Ranked without the texts; Spark keeps no more than the bound of each label from any task.
     chosen = rows.select("doc_id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "label").distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "label"], "left_semi")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
             for doc_id, label, text in zip(batch.column("doc_id"), batch.column("label"), batch.column("text"), strict=True):
-                data = text.as_py().lower().encode("utf-8")
+                data = letters(text.as_py())
                 step = max(1, len(data) // SAMPLE_PIECES)
                 for column, x in zip(out, (doc_id.as_py(), label.as_py(), b"".join(data[i : i + PIECE_BYTES] for i in range(0, len(data), step))[: SAMPLE_PIECES * PIECE_BYTES]), strict=True):
                     column.append(x)
@@ -69,6 +71,13 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     return {label: b"".join(p for _, p in sorted(x)) for label, x in sorted(by.items())}
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
+
+
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.labels = sorted(dictionaries)
@@ -82,8 +91,9 @@ class Classifier:
         """The label, a score from 0 to 1, and whether the margin is so narrow that the prediction is rejected."""
         if not text or not self.labels or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
-        data = text.lower().encode("utf-8")
+        data = letters(text)
         chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
+        chunks = [c if len(c) >= SHORT_BYTES else 3 * c for c in chunks]
         sizes = [sum(len(compress(c)) for c in chunks) for compress in self.compress]
         least = min(sizes)
         score = 1 / sum(math.exp(-NATS_A_BYTE * min(s - least, 2000)) for s in sizes)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import grace_dedup, language_id, prefix_bpe, simhash, token_files
+from amberline.llm import grace_dedup, language_id, prefix_bpe, simhash, token_files, warc
 from amberline.llm.common import table
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -20,6 +20,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op4_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.membership(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -39,12 +43,28 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_warc": op3_warc,
     "op4_grace_dedup": op4_grace_dedup,
     "op5_simhash": op5_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
 }
 ORACLE: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
+        d AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first,
+                     list_transform(range(8), lambda i: CAST('0x' || substr(x, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS n
+              FROM p)
+        SELECT page_id,
+               CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda j:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          CAST((n[CAST(j // 4 + 1 AS BIGINT)] >> CAST(15 - 5 * (j % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d
+    """,
     "op4_grace_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
