@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, grace_dedup, language_id, prefix_bpe, simhash, token_files, warc
+from amberline.llm import decontaminate, grace_dedup, language_id, license_scan, prefix_bpe, simhash, token_files, warc
 from amberline.llm.common import table
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -45,6 +45,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.evaluated(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: source and language are their directories."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    out = license_scan.scan(files)
+    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "licence", F.round("score", 6).alias("score"), "basis", "origin")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_warc": op3_warc,
@@ -53,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """

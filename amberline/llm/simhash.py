@@ -52,14 +52,16 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null and empty texts have fingerprint zero."""
+    """doc_id, text_hash (XXH64 of the text) and fp (the fingerprint as a signed long) of every row; null and empty texts
+    have fingerprint zero."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(out, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fp long")
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return texts.mapInArrow(hashed, "doc_id long, text_hash long, fp long")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +120,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of its component) of every row.
+    """doc_id, text_hash, fp and component_id (the smallest doc_id of its component) of every row.
 
     Rows that repeat an id each give a row. A null id is in a component but never names one unless all its ids are null.
     Texts without words have fingerprint zero and link like any other. An empty table gives no rows.
@@ -129,14 +131,16 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = materialise(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return each.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: of each component the document with the smallest id.
 
-    Rows that repeat that id are the same document and all stay; rows with a null id stay only if no row of their
-    component has one.
+    Rows that repeat both that id and its text are the same document and all stay; rows with a null id stay only if no
+    row of their component has one.
     """
-    who = membership(docs, id_col, text_col).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(who, docs[id_col].cast("long").eqNullSafe(who["_id"]), "left_semi")
+    gone = membership(docs, id_col, text_col).where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = materialise(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct(), "gone")
+    text_hash = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (text_hash == gone["_text"]), "left_anti")
