@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, grace_dedup, language_id, license_scan, prefix_bpe, simhash, token_files, warc
+from amberline.llm import decontaminate, grace_dedup, language_id, license_scan, line_dedup, prefix_bpe, simhash, token_files, warc
 from amberline.llm.common import table
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -20,6 +20,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "words_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
@@ -55,6 +60,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_grace_dedup": op4_grace_dedup,
     "op5_simhash": op5_simhash,
