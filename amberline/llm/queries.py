@@ -16,7 +16,7 @@ BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), WORD_BPE_END)
+    out = token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), WORD_BPE_END, with_ids=False)
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

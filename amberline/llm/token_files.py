@@ -38,7 +38,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("bef
 SAMPLE_DOCS, SAMPLE_BLOCKS, BLOCK_BYTES, DICTIONARY_BYTES = 512, 4, 4096, 110_000
 #: A file is closed when its frames reach this size.
 FILE_BYTES, LEVEL = 32 << 20, 3
-MEMO_WORDS, MEMO_BYTES = 150_000, 64
+MEMO_WORDS, MEMO_BYTES = 350_000, 64
 
 
 class WordTokenizer:
@@ -213,8 +213,9 @@ class TokenFile:
             at = end
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """What the files hold: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and token_ids."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """What the files hold: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for,
+    token_ids."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,8 +224,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 weight = 0
                 for row, ids in TokenFile(f"{folder}/{name}").documents():
                     wide = ids.astype("<u4")
-                    rows.append((None if row["null"] else int(row["doc_id"]), start + int(row["before"]), len(ids), zlib.crc32(wide.tobytes()), wide.view("<i4")))
-                    weight += len(ids)
+                    rows.append((None if row["null"] else int(row["doc_id"]), start + int(row["before"]), len(ids), zlib.crc32(wide.tobytes()), wide.view("<i4") if with_ids else None))
+                    weight += len(ids) if with_ids else 40
                     if weight > 4_000_000:
                         yield _rows(rows)
                         rows, weight = [], 0
@@ -233,18 +234,21 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     manifest = spark.read.parquet(f"{folder}/manifest.parquet").select("file", "start")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, token_ids array<int>")
+    return manifest.repartition(parts, "file").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     ids, starts, counts, crcs, arrays = zip(*rows, strict=True)
+    columns = [pa.array(c, pa.int64()) for c in (ids, starts, counts, crcs)]
+    if arrays[0] is None:
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
     ends = np.cumsum([0, *map(len, arrays)])
     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids_crc32", "token_ids"])
+    return pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "start", "n_tokens", "ids_crc32", "token_ids"])
 
 
-def write_and_read(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_and_read(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """`write` to a new shared folder, then `read`."""
     folder = shared_dir(docs.sparkSession, "tokens")
     write(docs, folder, vocabulary, end_id, id_col, text_col)
-    return read(docs.sparkSession, folder)
+    return read(docs.sparkSession, folder, with_ids)
