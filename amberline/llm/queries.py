@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import decontaminate, grace_dedup, language_id, license_scan, line_dedup, prefix_bpe, simhash, token_files, warc
+from amberline.llm import decontaminate, grace_dedup, language_id, license_scan, line_dedup, ngram_lm, prefix_bpe, simhash, token_files, warc
 from amberline.llm.common import table
 
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 2
@@ -58,6 +58,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "licence", F.round("score", 6).alias("score"), "basis", "origin")
 
 
+def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_lm": op10_ngram_lm,
 }
 ORACLE: dict[str, str] = {
     "op3_warc": """
