@@ -38,16 +38,24 @@ def remainder(id_column: Column, modulus: int) -> Column:
 
 
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
-    """A dictionary for each label, from the SAMPLE_DOCS rows of it whose hashed ids are smallest.
+    """A dictionary for each label, from SAMPLE_DOCS rows of it at most, chosen by their hashed ids.
 
     Rows with a null label, a null text or a text without letters are left out. Ids that repeat count once for each
-    row, within the bound.
+    different text, within the bound.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Ids and labels alone; the sample is cut by the hashed id to about twice its bound before anything is ranked.
+    light = rows.select("doc_id", "label").distinct()
+    counts = {r.label: r["count"] for r in light.groupBy("label").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return {}
+    share = F.create_map(*[F.lit(x) for label, n in sorted(counts.items()) for x in (label, 2.0 * SAMPLE_DOCS / n)])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ranked without the texts; Spark keeps no more than the bound of each label from any task.
-    chosen = rows.select("doc_id", "label").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "label").distinct()
+    chosen = light.where(place < share[F.col("label")]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).select("doc_id", "label")
     sample = rows.join(F.broadcast(chosen), ["doc_id", "label"], "left_semi")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +68,12 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["doc_id", "label", "piece"])
 
-    cut = sample.mapInArrow(pieces, "doc_id long, label string, piece binary")
+    cut = sample.mapInArrow(pieces, "doc_id long, label string, piece binary").distinct()
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "piece")
     held = cut.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_DOCS).limit(MOST_LANGUAGES * SAMPLE_DOCS).collect()
     by = defaultdict(list)
     for r in held:
         by[r.label].append((r["rank"], bytes(r.piece)))
-    if len(by) >= MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {label: b"".join(p for _, p in sorted(x)) for label, x in sorted(by.items())}
 
 

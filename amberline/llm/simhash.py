@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amberline.llm.common import id_and_text, materialise, runs
-from amberline.llm.components import components
+from amberline.operators.graph import components
 
 SEED, SHINGLE_WORDS, MOST_BITS = 42, 3, 3
 POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
