@@ -638,10 +638,10 @@ def hrr_bind_unbind(s, d):
     return back.select("n_name", F.round(search.cosine(col("a"), col("back")), 6).alias("sim"))
 
 
-@query("SELECT c_name AS name, CAST(0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) AS DOUBLE) AS R FROM customer WHERE 0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) >= 0.15")
+@query("SELECT c_name AS name, round(CAST(0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) AS DOUBLE), 6) AS R FROM customer WHERE 0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) >= 0.15")
 def rank_peers(s, d):
     peers = table(s, d, "customer").select(col("c_name").alias("name"), F.lit("graph node").alias("label"), (col("c_acctbal") / 1000).alias("energy"))
-    return search.ranked_peers(peers, "node graph", 1.0).select("name", "R")
+    return search.ranked_peers(peers, "node graph", 1.0).select("name", F.round("R", 6).alias("R"))
 
 
 # --- changes and merging -------------------------------------------------------------------------------------------
