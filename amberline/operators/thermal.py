@@ -22,6 +22,15 @@ def heated(t: Column, by=HEAT_READ) -> Column:
     return clamped(t + by)
 
 
+def cooled(t: Column, by: float) -> Column:
+    return clamped(t - by)
+
+
+def touched(t: Column, writing: bool = False) -> Column:
+    """After a read or a write."""
+    return heated(t, HEAT_WRITE if writing else HEAT_READ)
+
+
 def state(t: Column) -> Column:
     return F.when(t >= T_HOT, "HOT").when(t >= T_WARM, "WARM").when(t >= T_COLD, "COLD").otherwise("TOMB")
 

@@ -58,3 +58,19 @@ def bundle(*vectors: Column) -> Column:
     for v in vectors[1:]:
         out = F.zip_with(out, v, lambda x, y: x + y)
     return out
+
+
+def encode_sequence(items: list[Column], dimension: int = DIMENSION) -> Column:
+    """One vector for a sequence: the sum of its items, each bound to the vector of its position."""
+    return bundle(*[bind(vector_of(x, dimension), vector_of(F.lit(f"position {i}"), dimension)) for i, x in enumerate(items)])
+
+
+def decode_position(sequence: Column, position: int, candidates: list[str], dimension: int = DIMENSION) -> Column:
+    """The candidate that is most similar to what stands at the position; ties go to the one that is listed first."""
+    known = np.stack([name_vector(c, dimension) for c in candidates])
+
+    @F.pandas_udf("string")
+    def closest(x: pd.Series) -> pd.Series:
+        return pd.Series([candidates[i] for i in (_matrix(x) @ known.T).argmax(axis=1)], dtype=object)
+
+    return closest(unbind(sequence, vector_of(F.lit(f"position {position}"), dimension)))

@@ -46,3 +46,15 @@ def backup(store: Store, folder: str, label: str) -> str:
     path = f"{folder}/{label}"
     save(store, path)
     return path
+
+
+def snapshots(spark: SparkSession, folder: str) -> list[str]:
+    """The labels of a folder's backups."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    return sorted(i.base_name for i in files.get_file_info(fs.FileSelector(path)) if i.type == fs.FileType.Directory)
+
+
+def restore(spark: SparkSession, folder: str, label: str) -> Store:
+    return load(spark, f"{folder}/{label}")

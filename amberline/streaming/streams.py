@@ -54,6 +54,16 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, late: str) -> Data
     return _timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def fresh(df: DataFrame, ts: str, now, window: int = 300) -> DataFrame:
+    """Rows within so many seconds of `now` (a column), before or after: what is older is a replay."""
+    return df.where(F.abs(F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(now)) <= window)
+
+
+def rate_limited(df: DataFrame, key: str, ts: str, most: int, size: str = "60 seconds", step: str = "10 seconds", late: str | None = None) -> DataFrame:
+    """Keys and windows in which a key came more than `most` times."""
+    return sliding(df, ts, size, step, [key], {"n": F.count("*")}, late).where(F.col("n") > most)
+
+
 def memory(stream: DataFrame, beta: float = BETA) -> DataFrame:
     """Rows (key, epoch, r) to rows (key, epoch, M) for each batch of a key, from at most TRACES traces of state."""
 

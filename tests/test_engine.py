@@ -221,6 +221,30 @@ def test_vectors(spark):
     assert r.s > 0.6 and abs(r.t) < 0.2
 
 
+def test_sequences(spark):
+    names = ["a", "b", "c"]
+    df = frame(spark, [tuple(names)], "x string, y string, z string").select(vectors.encode_sequence([F.col("x"), F.col("y"), F.col("z")], 1024).alias("s"))
+    got = df.select(*[vectors.decode_position(F.col("s"), i, [*names, "d"], 1024).alias(f"p{i}") for i in range(3)]).first()
+    assert list(got) == names
+
+
+def test_replays_limits_and_heat(spark):
+    rows = frame(spark, [("u", "2024-01-01 00:00:0%d" % i) for i in range(6)] + [("v", "2024-01-01 00:20:00")], "id string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert streams.fresh(rows, "ts", F.lit("2024-01-01 00:00:00").cast("timestamp")).count() == 6
+    assert set(values(streams.rate_limited(rows, "id", "ts", 5), "id")) == {"u"}
+    r = frame(spark, [(99.0,)], "t double").select(thermal.touched(F.col("t")).alias("a"), thermal.cooled(F.col("t"), 100).alias("b"), thermal.touched(F.lit(1.0), True).alias("c")).first()
+    assert tuple(r) == (100.0, 0.0, 6.0)
+
+
+def test_backups(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    s = Store(spark)
+    s.create("A")
+    s.insert("A", RAM=1)
+    world.backup(s, folder, "one")
+    assert world.snapshots(spark, folder) == ["one"] and world.restore(spark, folder, "one").show("A")["properties"] == {"RAM": "1"}
+
+
 def test_merge(spark):
     schema = "atom_id string, S string, E string, T double"
     local = frame(spark, [("a", "s", "old", 50.0), ("b", "s", "mine", 10.0)], schema)
