@@ -5,7 +5,7 @@ and word pairs once, however often it has them. So no word or pair, however comm
 
 1. Blocks. Each task tokenises its documents, stores them as blocks of local word numbers in the shared folder and
    sends the block's distinct words with their counts in training documents.
-2. Words. The counts are summed into the vocabulary (which numbers the words) and go back to each block.
+2. Words. The counts of each word are summed, the word gets a number, and both go back to each block that has it.
 3. Pairs. Each block sends its distinct pairs (context, word) with their training counts to the shards; a shard is
    told by the context. A context that makes up much of all tokens is dealt over several shards by its words.
 4. Shards. Each sums the counts, keeps the pairs that occur at least MIN_COUNT times, writes their discounted
@@ -200,24 +200,22 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     docs = docs.withColumn("train", F.coalesce(fold != held, F.lit(False)))
     of_block = materialise(_blocks(docs, folder), "words")
 
-    counted = of_block.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("m", F.monotonically_increasing_id())
-    counted = materialise(counted, "vocabulary")
-    totals = counted.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.max(F.shiftright("m", 33)), F.lit(0)).alias("parts")).first()
-    n, v, parts_used = totals["n"], totals["v"], totals["parts"] + 1
-    # Numbers from 1, nearly without gaps, as the partitions of the vocabulary are about equally large.
-    number = F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) * parts_used + F.shiftright("m", 33) + 1
-    vocabulary = counted.select("word", number.alias("id"), "c")
+    n = of_block.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, -(-n // SHARD_TOKENS))
-    # A block whose words are all unknown still has to be scored, so its end word comes back in any case.
-    back = of_block.join(vocabulary, "word", "left").where("id IS NOT NULL OR at = 0").select("block", "at", "id", "c")
-    back = back.repartition(parts, "block").sortWithinPartitions("block", "at")
+    by_word = of_block.repartition(parts, "word").sortWithinPartitions("word")
+    back = materialise(by_word.mapInArrow(_numbered, "block long, part long, data binary, v long"), "back")
+    totals = back.groupBy("part").agg(F.max("v").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
+    v, width = totals[0], totals[1] + 1
+    back = back.select("block", "part", "data").repartition(parts, "block").sortWithinPartitions("block", "part")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["block"]):
             for block, part in _groups(table, "block"):
-                part = part.filter(pc.is_valid(part.column("id")))
-                _save(f"{folder}/known/{block}", **{k: part.column(k).to_numpy() for k in ("at", "id", "c")})
+                # Numbers from 1, nearly without gaps, as the words are dealt out about evenly.
+                own = [(_unpack(data), p) for data, p in zip(part.column("data").to_pylist(), part.column("part").to_pylist(), strict=True)]
+                at, c = (np.concatenate([x[i] for x, _ in own]) for i in (1, 2))
+                _save(f"{folder}/known/{block}", at=at, id=np.concatenate([x[0] * width + p + 1 for x, p in own]), c=c)
                 pairs = _Pairs(folder, block)
                 # Contexts by their steps, how many pairs each has, their own counts; the pairs' words and counts.
                 rows = [(s, block, _pack(np.diff(contexts, prepend=0), sizes, counts, pairs.pair_word[i], pairs.n[i])) for s, i, contexts, sizes, counts in pairs.dealt(n, shards)]
@@ -257,6 +255,45 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     return out.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, word, at, n) in order of the word to what each block is told: the words' numbers within this part,
+    their places in the block, and their counts in all training documents. Words that no training document has get no
+    number; a block that has no others is told so. v: the words numbered so far."""
+    part, v = TaskContext.get().partitionId(), 0
+    for table in runs(_together(batches, 400_000), ["word"]):
+        words, block = table.column("word").combine_chunks(), table.column("block").to_numpy()
+        at, n = table.column("at").to_numpy(), table.column("n").to_numpy()
+        new = np.ones(len(words), bool)
+        new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(new)
+        c = np.add.reduceat(n, first)
+        number = np.where(c > 0, v + np.cumsum(c > 0) - 1, UNKNOWN)
+        v += int((c > 0).sum())
+        which = np.cumsum(new) - 1
+        number, c = number[which], c[which]
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1], [True]]))
+        rows = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            k = order[i:j]
+            k, name = k[number[k] >= 0], int(block[order[i]])
+            rows.append((name, _pack(number[k], at[k], c[k])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(np.full(len(rows), part, np.int64)), pa.array([r[1] for r in rows], pa.binary()), pa.array(np.full(len(rows), v, np.int64))], ["block", "part", "data", "v"])
+
+
+def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _groups(table: pa.Table, key: str) -> Iterator[tuple[int, pa.Table]]:
     at = 0
     for k, group in groupby(table.column(key).to_pylist()):
