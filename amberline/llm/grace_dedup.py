@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from amberline.llm.common import filesystem, id_and_text, materialise, shared_dir
 
 #: Bytes of distinct content that one table may hold, and the files that a bucket is spilled to.
-TABLE_BYTES, FAN_BITS = 64 << 20, 4
+TABLE_BYTES, FAN_BITS = 32 << 20, 4
 _PARTIAL = pa.schema([("h", pa.int64()), ("text", pa.string()), ("keep_id", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
 _CLASS = pa.schema([("sha", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("ties", pa.int64())])
 
@@ -36,6 +38,8 @@ class ContentTable:
         self.n: list[int] = []
         self.ties: list[int] = []
         self.bytes = 0
+        # What the last call of `add` found: the content's place, and whether the new record is the one that stays.
+        self.touched, self.replaced = -1, False
 
     def add(self, h: int, content: str, keep: int | None, n: int, ties: int) -> None:
         at = h & self.mask
@@ -43,13 +47,15 @@ class ContentTable:
             if self.hashes[j] == h and self.contents[j] == content:
                 self.n[j] += n
                 mine = self.keep[j]
+                self.touched, self.replaced = j, mine != keep and (mine is None or keep is not None and keep > mine)
                 if mine == keep:
                     self.ties[j] += ties
-                elif mine is None or keep is not None and keep > mine:
+                elif self.replaced:
                     self.keep[j], self.ties[j] = keep, ties
                 return
             at = at + 1 & self.mask
-        self.slots[at] = len(self.hashes)
+        self.slots[at] = self.touched = len(self.hashes)
+        self.replaced = False
         for column, x in ((self.hashes, h), (self.contents, content), (self.keep, keep), (self.n, n), (self.ties, ties)):
             column.append(x)
         self.bytes += len(content.encode("utf-8", "surrogatepass")) + 100
@@ -184,14 +190,109 @@ def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+class RowTable:
+    """Whole rows by content: of each distinct content the place of the row that stays. Rows are held as they come."""
+
+    def __init__(self, text: int):
+        self.text, self.table, self.batches, self.rows, self.bytes = text, ContentTable(), [], 0, 0
+        self.place: list[int] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        table = self.table
+        for i, (h, content, doc_id) in enumerate(zip(batch.column("_h").to_pylist(), batch.column(self.text).to_pylist(), batch.column("_id").to_pylist(), strict=True)):
+            table.add(h, content or "", doc_id, 1, 1)
+            j = table.touched
+            if j == len(self.place):
+                self.place.append(self.rows + i)
+            elif table.replaced:
+                self.place[j] = self.rows + i
+        self.batches.append(batch)
+        self.rows += batch.num_rows
+        self.bytes += batch.nbytes
+        if self.rows > 2 * len(self.place) + 1000:  # copies are not held for long
+            self.compact()
+
+    def compact(self) -> None:
+        kept = self.result()
+        self.batches, self.rows, self.bytes = kept.to_batches(), kept.num_rows, kept.nbytes
+        self.place = list(range(self.rows))
+
+    def result(self) -> pa.Table:
+        return pa.Table.from_batches(self.batches).take(pa.array(self.place, pa.int64()))
+
+
+def _grace_rows(batches: Iterator[pa.RecordBatch], text: int, level: int, files, folder: str, table_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one bucket that stay."""
+    table = RowTable(text)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            table.add(batch.slice(at, 500))
+        if table.bytes > table_bytes and FAN_BITS * (level + 1) <= 64:
+            table.compact()
+            if table.bytes > table_bytes:
+                break
+    else:
+        if table.rows:
+            yield from table.result().to_batches()
+        return
+    files.create_dir(folder, recursive=True)
+    paths = [f"{folder}/{level}-{uuid.uuid4().hex}" for _ in range(1 << FAN_BITS)]
+    streams = [files.open_output_stream(p) for p in paths]
+    schema = table.batches[0].schema
+    writers = [pa.ipc.new_stream(s, schema) for s in streams]
+    held, table = table.batches, None
+    for batch in chain(held, batches):
+        bucket = batch.column("_h").to_numpy() >> FAN_BITS * level & (1 << FAN_BITS) - 1
+        for b in np.unique(bucket):
+            writers[b].write_batch(batch.filter(pa.array(bucket == b)))
+    del held
+    for writer, stream in zip(writers, streams, strict=True):
+        writer.close()
+        stream.close()
+    for path in paths:
+        with files.open_input_stream(path) as stream, pa.ipc.open_stream(stream) as reader:
+            yield from _grace_rows(iter(reader), text, level + 1, files, folder, table_bytes)
+        files.delete_file(path)
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs, all columns, one of each class of equal texts: that with the largest id, any one of those that
-    repeat it. The other columns take no part in the comparison."""
-    several = materialise(classes(id_and_text(docs, id_col, text_col), table_bytes).where("group_size > 1"), "classes")
-    names, taken = docs.columns, {c.lower() for c in docs.columns}
-    sha, keep, ties = (next(f"{x}{'_' * k}" for k in range(99) if f"{x}{'_' * k}".lower() not in taken) for x in ("sha", "keep_id", "ties"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn(sha, F.unhex(F.sha2(text, 256))).join(several.select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("ties").alias(ties)), sha, "left")
-    stay = joined.where(F.col(ties).isNull() | F.col(keep).eqNullSafe(F.col(id_col).cast("long")))
-    once = stay.where(F.coalesce(F.col(ties), F.lit(1)) == 1)
-    return once.select(*names).unionByName(stay.where(F.col(ties) > 1).dropDuplicates([sha]).select(*names))
+    repeat it. The other columns take no part in the comparison.
+
+    The same Grace hashing as for `membership`, with whole rows: each task drops the copies in its own input, the rest
+    is dealt out once, and nothing is joined.
+    """
+    spill, names = shared_dir(docs.sparkSession, "spill"), docs.columns
+    text = names.index(text_col)
+    # Further columns stand last, and are told apart by name only if docs has none of that name.
+    if {"_h", "_id"} & {c.lower() for c in names}:
+        plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+        return survivors(plain, f"c{names.index(id_col)}", f"c{text}", table_bytes).toDF(*names)
+    hashed = docs.withColumns({"_h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "_id": F.col(id_col).cast("long")})
+
+    def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = RowTable(text)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                table.add(batch.slice(at, 500))
+            if table.bytes > table_bytes // 2:
+                yield from table.result().to_batches()
+                table = RowTable(text)
+        if table.rows:
+            yield from table.result().to_batches()
+        del table
+        pa.default_memory_pool().release_unused()
+
+    def deduplicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = filesystem(spill)
+        folder = f"{path}/{uuid.uuid4().hex}"
+        try:
+            for batch in _grace_rows(batches, text, 0, files, folder, table_bytes):
+                yield batch.select(range(batch.num_columns - 2))
+        finally:
+            pa.default_memory_pool().release_unused()
+            if files.get_file_info(folder).type.name == "Directory":
+                files.delete_dir(folder)
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hashed.mapInArrow(collapse, hashed.schema).repartition(parts, "_h").mapInArrow(deduplicate, docs.schema)

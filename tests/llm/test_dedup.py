@@ -151,3 +151,16 @@ def test_lines_of_copies_and_order(spark):
 
 def test_rising():
     assert line_dedup.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and line_dedup.rising([]) == []
+
+
+def test_survivors_with_spill_files(spark, documents):
+    many = documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(documents.limit(1).crossJoin(spark.range(500)).withColumn("doc_id", F.col("id") + 5000).drop("id"))
+    want = {r[1] for r in want_exact(many)}
+    for table_bytes in (20_000, 64 << 20):
+        got = grace_dedup.survivors(many, table_bytes=table_bytes).collect()
+        assert sorted(r.doc_id for r in got) == sorted(want) and got[0].__fields__ == many.columns
+
+
+def test_survivors_under_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, None, 7)], "_id long, _h string, x long")
+    assert keyed(grace_dedup.survivors(docs, "_id", "_h").collect()) == [(2, "a", 6), (3, None, 7)]
