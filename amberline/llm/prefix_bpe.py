@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from amberline.llm.common import Memo, id_and_text
 
 #: Distinct pieces that a worker remembers, the longest that it does, and the prefixes that pieces share.
-MEMO_PIECES, MEMO_BYTES, SHARED_PREFIXES = 200_000, 64, 500_000
+MEMO_PIECES, MEMO_BYTES, SHARED_PREFIXES = 120_000, 48, 200_000
+
+#: Pairs of tokens of which it remembers whether one may follow the other.
+FOLLOWING_PAIRS = 250_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -78,7 +81,7 @@ class Vocabulary:
         return out
 
     def _learn(self, pair: int) -> bool:
-        if len(self._follows) > 1_000_000:
+        if len(self._follows) > FOLLOWING_PAIRS:
             self._follows.clear()
         ends, starts = self._edge(pair >> 32, 1, self._at_end), self._edge(pair & 0xFFFFFFFF, 0, self._at_start)
         i = j = 0
