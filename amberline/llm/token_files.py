@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amberline.llm.common import Memo, filesystem, id_and_text, publish, shared_dir
+from amberline.llm.common import filesystem, id_and_text, publish, shared_dir
 
 MAGIC = b"AMTK1\0"
 HEAD, TAIL = "<6sB32s", "<QQ"
@@ -52,28 +52,41 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo = Memo(MEMO_WORDS)
+        # Where the normaliser does nothing to lower-case ASCII words, those skip it; where it lower-cases ASCII, so may we.
+        normalizer, probe = self.tokenizer.normalizer, "".join(map(chr, [*range(14, 32), *range(33, 65), *range(91, 128)]))
+        same = normalizer is None or normalizer.normalize_str(probe) == probe
+        self.lowers = same and normalizer is not None and normalizer.normalize_str("ABCXYZ") == "abcxyz"
+        self.plain = Tokenizer.from_file(path) if same else self.tokenizer
+        if same:
+            self.plain.encode_special_tokens, self.plain.normalizer = True, None
+        # What words give, in two generations; the older is dropped when the younger has MEMO_WORDS.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialised ids of each text."""
-        young, old = self.memo.young, self.memo.old
-        split = [t.encode("utf-8").split() if t else [] for t in texts]
-        distinct = set().union(*split)
-        known = {}
-        for w in distinct:
-            ids = young.get(w)
+        known, older = self.known, self.older
+        split = [(t.lower() if self.lowers and t.isascii() else t).encode("utf-8").split() if t else [] for t in texts]
+        new = []
+        for w in set().union(*split).difference(known):
+            ids = older.get(w)
             if ids is None:
-                ids = old.get(w)
-            if ids is not None:
+                new.append(w)
+            else:
                 known[w] = ids
-        new = [w for w in distinct if w not in known]
-        for at in range(0, len(new), 10_000):
-            words = new[at : at + 10_000]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False), strict=True):
-                known[w] = ids = np.array(e.ids, self.dtype).tobytes()
-                if len(w) <= MEMO_BYTES:
-                    self.memo.put(w, ids)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        simple = [w for w in new if w.isascii() and w == w.lower()]
+        for own, words in ((self.plain, simple), (self.tokenizer, list(set(new).difference(simple)))):
+            for at in range(0, len(words), 10_000):
+                part = words[at : at + 10_000]
+                for w, e in zip(part, own.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
+                    known[w] = np.array(e.ids, self.dtype).tobytes()
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del known[w]
+        if len(known) > MEMO_WORDS:
+            self.older, self.known = known, {}
+        return out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
