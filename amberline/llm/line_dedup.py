@@ -3,8 +3,13 @@
 Every line that several documents hold links each of them to the earliest one that holds it; so a line in n documents
 gives n - 1 links, and none is too common to be looked at. The lines that a document shares with one earlier document
 are aligned as patience diff does: lines that occur once in both are matched, the longest rising sequence of them stays,
-and it grows along the lines beside it. Aligned lines that follow each other form a block, whichever documents they
+and it grows along the lines beside it. Two lines in a row that any earlier document also has in a row are aligned too, as
+is a line that is long enough by itself: so a passage counts wherever it was copied from, even if the earliest holders
+of its lines have them in another order. Aligned lines that follow each other form a block, whichever documents they
 were aligned with; blocks of enough words are deleted from the later document.
+
+Not aligned: lines that an earlier document has in the same order but parted by others, unless it is their earliest
+holder.
 """
 
 from __future__ import annotations
@@ -67,10 +72,10 @@ def align(shared: list[tuple[int, int, bool]]) -> set[int]:
     return out
 
 
-def _removed(lines: list[tuple], least_words: int) -> list[int]:
+def _removed(lines: list[tuple], least_words: int, twins: frozenset[int] | set[int] = frozenset()) -> list[int]:
     """The positions to delete. lines: (position, words, earlier document, its position, once) in order of the earlier
-    document and the position."""
-    aligned: dict[int, int] = {}
+    document and the position. twins: the positions that, with the next one, some earlier document has in a row."""
+    aligned = {x[0]: x[1] for x in lines if x[0] in twins or x[0] - 1 in twins or x[1] >= least_words}
     at = 0
     while at < len(lines):
         end = at
@@ -92,19 +97,28 @@ def _removed(lines: list[tuple], least_words: int) -> list[int]:
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash and the sorted positions `removed` for each document of docs (doc_id, text, text_hash) that
     loses lines. Blank lines are never shared; they are passed over, and end no block."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    lines = docs.select("doc_id", "text_hash", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("all"))
+    lines = lines.select("doc_id", "text_hash", F.posexplode(F.zip_with("all", F.slice("all", 2, F.size("all")), lambda x, y: F.struct(x.alias("line"), y.alias("next")))).alias("pos", "both")).select("doc_id", "text_hash", "pos", "both.line", "both.next")
+    # A line with the next one; the last line of a document is a pair that no other document has.
+    pair = [F.when(F.col("next").isNotNull(), F.xxhash64("line", "next", F.lit(k))).otherwise(F.xxhash64("doc_id", "text_hash", F.lit(k))).alias(name) for k, name in ((2, "ph"), (3, "pg"))]
     words = F.size(F.split(F.trim("line"), r"\s+"))
-    lines = materialise(lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), words.alias("words")).distinct(), "lines")
+    lines = materialise(lines.select("doc_id", "text_hash", "pos", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), *pair, words.alias("words")).distinct(), "lines")
     held = lines.groupBy("h", "g", "doc_id", "text_hash").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
     earliest = F.min(F.struct("doc_id", "text_hash", "pos", "n")).alias("first")
     firsts = materialise(held.groupBy("h", "g").agg(earliest, F.count("*").alias("documents")).where("documents > 1").select("h", "g", F.col("first.doc_id").alias("e_id"), F.col("first.text_hash").alias("e_hash"), F.col("first.pos").alias("e_pos"), (F.col("first.n") == 1).alias("e_once")), "firsts")
-    shared = lines.join(firsts, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_hash") == F.col("e_hash"))))
+    shared = materialise(lines.join(firsts, ["h", "g"]), "shared")
+    # Both lines of a pair that documents share are shared, so these rows have all such pairs.
+    document = F.struct("doc_id", "text_hash")
+    pairs = shared.groupBy("ph", "pg").agg(F.min(document).alias("p"), F.max(document).alias("last")).where(~F.col("p").eqNullSafe(F.col("last"))).select("ph", "pg", F.col("p.doc_id").alias("p_id"), F.col("p.text_hash").alias("p_hash"))
+    shared = shared.where(~(F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("text_hash") == F.col("e_hash"))))
+    earlier = F.col("p_hash").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")))
+    shared = shared.join(materialise(pairs, "pairs"), ["ph", "pg"], "left").withColumn("twin", F.coalesce(earlier, F.lit(False))).drop("ph", "pg", "p_id", "p_hash")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = shared.repartition(parts, "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "e_id", "e_hash", "pos")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs((b.set_column(b.schema.get_field_index("doc_id"), "doc_id", b.column("doc_id").fill_null(-(1 << 63))) for b in batches), ["doc_id", "text_hash"]):
-            columns = [table.column(c).to_pylist() for c in ("doc_id", "text_hash", "pos", "words", "e_id", "e_hash", "e_pos", "e_once", "h", "g")]
+            columns = [table.column(c).to_pylist() for c in ("doc_id", "text_hash", "pos", "words", "e_id", "e_hash", "e_pos", "e_once", "h", "g", "twin")]
             out: list[tuple] = []
             held: list[tuple] = []
             now = None
@@ -113,7 +127,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 times: dict[tuple, int] = {}
                 for r in held:
                     times[r[6], r[7]] = times.get((r[6], r[7]), 0) + 1
-                gone = _removed([(p, w, (e, eh), q, once and times[h, g] == 1) for p, w, e, eh, q, once, h, g in held], least_words)
+                gone = _removed([(p, w, (e, eh), q, once and times[h, g] == 1) for p, w, e, eh, q, once, h, g, _ in held], least_words, {r[0] for r in held if r[-1]})
                 if gone:
                     out.append((*now, gone))
 

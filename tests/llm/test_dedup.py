@@ -149,6 +149,18 @@ def test_lines_of_copies_and_order(spark):
     assert got[13].n_removed == 10 and got[13].text == "fresh start of this\nfresh end of this"
 
 
+def test_lines_copied_from_later_holders(spark):
+    lines = [f"line number {i} with several words in it" for i in range(30)]
+    turned = "\n".join(lines[::-1])
+    long = [f"{i} is a line of quite enough words to be a passage by itself" for i in range(4)]
+    rows = [(10, "\n".join(lines)), (12, turned), (14, turned), (15, "own\n" + "\n".join(lines[20:9:-1]) + "\nend"), (16, f"{lines[3]}\nown words\n{lines[9]}"), (20, "\n".join(long)), (21, f"{long[2]}\nx\n{long[1]}\ny\n{long[0]}")]
+    got = {r.doc_id: r for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10].n_removed == got[12].n_removed == got[16].n_removed == got[20].n_removed == 0
+    assert got[14].n_removed == 30 and got[14].text == ""
+    assert got[15].n_removed == 11 and got[15].text == "own\nend"
+    assert got[21].n_removed == 3 and got[21].text == "x\ny"
+
+
 def test_rising():
     assert line_dedup.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and line_dedup.rising([]) == []
 
