@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of notice lines and licence files to templates, then inheritance by directories.
 
 Everything is joins and grouped sums. A file's own licence is that of the template closest to one of its notice lines
-(lines that name a licence or a right), or, for a licence file, to its whole text. A file without one inherits from the
+(lines that name a licence or a right) or to a paragraph that has one, or, for a licence file, to its whole text, which
+is compared with whole licences too. An SPDX identifier tells a licence by itself. A file without one inherits from the
 licence files of its nearest ancestor directory.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.llm.common import materialise
+from amberline.llm.license_texts import TEXTS
 
 #: Short notices and the opening words of public licences.
 TEMPLATES = [
@@ -40,6 +42,10 @@ TEMPLATES = [
 ]
 NOTICE = r"(?i)licen[cs]e|copyright|permission|redistribut|public domain|rights reserved|free software|spdx"
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|copyright|notice)[^/]*$"
+#: Paragraphs are parted by lines without letters and digits, so comment signs do not hide the gaps.
+GAP = r"\n[^\p{L}\p{N}\n]*\n"
+#: One identifier; of alternatives the first. Several that hold together are not one licence.
+SPDX = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)(?![A-Za-z0-9.+-])(?![^\n]* AND )"
 LEAST_COSINE = 0.6
 #: Scores are rounded to this many digits before they are compared, so that the order of sums does not matter.
 DIGITS = 9
@@ -52,51 +58,56 @@ def tokens(text: Column) -> Column:
 
 def templates(spark) -> DataFrame:
     """The parameter table of templates: its size does not depend on the data."""
-    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, licence, text)")
+    every = [(name, text, False) for name, text in TEMPLATES] + [(name, text, True) for name, text in sorted(TEXTS.items())]
+    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}', {full})" for i, (name, text, full) in enumerate(every))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, licence, text, full)")
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
     """path, licence, score, basis (notice, file, inherited or none) and origin (the path that the licence comes from).
 
     Weights are term counts times log((1 + files) / (1 + files with the term)) + 1, over all files; a word that no
-    template has weighs as if no file had it. The best template of a file is the one of highest cosine, at least
-    `least`, then of the smaller licence name; for a notice line at most as many of them as templates are compared. A
+    template has weighs as if no file had it; for notices only the short templates count, whole licences are for licence
+    files. The best template of a file is the one of highest cosine, at least `least`, then of the smaller licence name;
+    an SPDX identifier of a licence that has a template scores 1. A
     null or empty text has no licence of its own; a null path has no directory and inherits nothing. Rows that repeat a
     path are one file: it has the best licence that any of them has, and each row gets it. An empty table gives no rows.
     """
     spark = files.sparkSession
     files = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Bounded by the templates alone, whatever the data.
-    terms = templates(spark).select("template", "licence", F.explode(tokens(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
-    vocabulary = sorted({r.term for r in terms.select("term").distinct().collect()})
+    terms = materialise(templates(spark).select("template", "licence", "full", F.explode(tokens(F.col("text"))).alias("term")).groupBy("template", "licence", "full", "term").agg(F.count("*").alias("tf")), "terms")
+    vocabulary = terms.groupBy("term").agg((~F.min("full")).alias("short"))
 
     # Statistics over all files, of the words that the templates have.
-    of_file = F.array_intersect(tokens(F.col("text")), F.array(*map(F.lit, vocabulary)))
-    counted = files.select(F.explode(of_file).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    of_file = files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    counted = of_file.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = files.count()
-    known = terms.select("term").distinct().join(counted, "term", "left")
-    idf = materialise(known.select("term", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
+    idf = materialise(vocabulary.join(counted, "term", "left").select("term", "short", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
     rarest = F.lit(math.log(1 + n) + 1)
 
-    weights = terms.join(idf, "term").select("template", "licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = terms.join(idf, "term").select("template", "licence", "full", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = materialise(weights.join(norms, "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("tw")), "weights")
+    weights = materialise(weights.join(norms, "template").select("template", "licence", "full", "term", (F.col("w") / F.col("norm")).alias("tw")), "weights")
 
-    # A licence file is compared as a whole; of every other file, its notice lines are.
+    # A licence file is compared as a whole; of every other file, its notice lines and the paragraphs that have one are.
     whole = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    pieces = files.select("path", whole.alias("whole"), F.explode(F.when(whole, F.array("text")).otherwise(F.filter(F.split("text", "\n"), lambda x: x.rlike(NOTICE)))).alias("piece")).where(F.col("piece") != "")
+    pieces = files.select("path", whole.alias("whole"), F.explode(F.when(whole, F.array("text")).when(F.col("text").rlike(NOTICE), F.array_distinct(F.filter(F.concat(F.split("text", "\n"), F.split("text", GAP)), lambda x: x.rlike(NOTICE)))).otherwise(F.array().cast("array<string>"))).alias("piece")).where(F.col("piece") != "")
     # Equal pieces are compared once, however many files hold them.
     hashed = pieces.withColumn("digest", F.sha2("piece", 256))
-    distinct = hashed.groupBy("digest").agg(F.first("piece").alias("piece"))
-    counts = distinct.select("digest", F.explode(tokens(F.col("piece"))).alias("term")).groupBy("digest", "term").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(idf), "term", "left").select("digest", "term", (F.col("tf") * F.coalesce("idf", rarest)).alias("w"))
-    lengths = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(F.broadcast(weights), "term").groupBy("digest", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    close = dots.join(lengths, "digest").select("digest", "licence", F.round(F.col("dot") / F.col("length"), DIGITS).alias("score")).where(F.col("score") >= least)
+    distinct = hashed.groupBy("whole", "digest").agg(F.first("piece").alias("piece"))
+    counts = distinct.select("whole", "digest", F.explode(tokens(F.col("piece"))).alias("term")).groupBy("whole", "digest", "term").agg(F.count("*").alias("tf"))
+    weighed = counts.join(F.broadcast(idf), "term", "left").select("whole", "digest", "term", (F.col("tf") * F.coalesce(F.when(F.col("whole") | F.col("short"), F.col("idf")), rarest)).alias("w"))
+    lengths = weighed.groupBy("whole", "digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = weighed.join(F.broadcast(weights), "term").where(F.col("whole") | ~F.col("full")).groupBy("whole", "digest", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    close = dots.join(lengths, ["whole", "digest"]).select("whole", "digest", "licence", F.round(F.col("dot") / F.col("length"), DIGITS).alias("score")).where(F.col("score") >= least)
     best = lambda by: F.min(F.struct((-F.col("score")).alias("minus"), F.col("licence"), *by)).alias("best")
-    of_piece = materialise(close.groupBy("digest").agg(best([])).select("digest", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")), "pieces")
-    own = hashed.select("path", "whole", "digest").join(of_piece, "digest").groupBy("path", "whole").agg(best([]))
+    of_piece = materialise(close.groupBy("whole", "digest").agg(best([])).select("whole", "digest", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")), "pieces")
+    named = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+)$", "")
+    names = sorted({name for name, _ in TEMPLATES if name != "proprietary"} | TEXTS.keys())
+    told = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", whole.alias("whole"), named.alias("licence"), F.lit(1.0).alias("score")).where(F.col("licence").isin(names))
+    own = hashed.select("path", "whole", "digest").join(of_piece, ["whole", "digest"]).select("path", "whole", "licence", "score").unionByName(told)
+    own = own.groupBy("path", "whole").agg(best([]))
     own = materialise(own.select("path", "whole", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")), "own")
 
     # The best licence of each directory that holds licence files, then each file's ancestors, nearest first.

@@ -100,6 +100,18 @@ def test_licences(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def test_whole_licences_and_headers(spark):
+    header = "/*\n * This program is free software: you can\n * redistribute it and/or modify it under the terms of the\n * GNU General Public License as published by the Free\n * Software Foundation, either version 3 of the\n * License, or (at your option) any later version.\n *\n */\nint main;"
+    rows = [(f"{name}/LICENSE", f"Copyright 2020 Some Holder\n\n{text}") for name, text in license_scan.TEXTS.items()] + [(f"{name}/src/x.py", "code") for name in license_scan.TEXTS]
+    rows += [("h/a.c", header), ("h/b.c", "// SPDX-License-Identifier: MPL-2.0\ncode"), ("h/c.c", "// SPDX-License-Identifier: GPL-2.0-or-later"), ("h/d.c", "// SPDX-License-Identifier: MIT AND ISC and others"), ("h/e.txt", "The license of the work is the right of the owner of the work.")]
+    rows += [(f"other/{i}", "nothing to see here") for i in range(300)]
+    got = {r.path: (r.licence, r.basis) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    for name in license_scan.TEXTS:
+        assert got[f"{name}/LICENSE"] == (name, "file") and got[f"{name}/src/x.py"] == (name, "inherited")
+    assert got["h/a.c"] == ("GPL-3.0", "notice") and got["h/b.c"] == ("MPL-2.0", "notice") and got["h/c.c"] == ("GPL-2.0", "notice")
+    assert got["h/d.c"] == got["h/e.txt"] == (None, "none")
+
+
 def test_licence_scores(spark):
     """The cosine by its definition, over a handful of files."""
     texts = ["Licensed under the Apache License, Version 2.0.", "licensed licensed of nothing known", "no notice", "This work is licensed under the GNU General Public License, version 3."]
