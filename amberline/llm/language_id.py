@@ -27,8 +27,11 @@ MOST_LANGUAGES = 64
 CHUNK_BYTES, LEVEL = 2048, 5
 #: A chunk below this size is compressed three times over in a row: so short, it may not compress at all by itself.
 SHORT_BYTES = 256
-#: What a byte of difference says, in nats; and the score below which a prediction is rejected.
-NATS_A_BYTE, LEAST_SCORE = 0.25, 0.4
+#: What a byte of difference says, in nats, for the score.
+NATS_A_BYTE = 0.25
+#: A prediction is rejected if the second-best size is not larger by more than this share of the text's bytes. On the
+#: held-out rows of sf0.1 that rejects 30 of 1953 right predictions and 5 of 7 wrong ones.
+LEAST_MARGIN = 0.01
 UNKNOWN = "und"
 
 
@@ -101,16 +104,16 @@ class Classifier:
         chunks = [data[i : i + CHUNK_BYTES] for i in range(0, len(data), CHUNK_BYTES)]
         chunks = [c if len(c) >= SHORT_BYTES else 3 * c for c in chunks]
         sizes = [sum(len(compress(c)) for c in chunks) for compress in self.compress]
-        least = min(sizes)
+        least, second = sorted([*sizes, math.inf])[:2]
         score = 1 / sum(math.exp(-NATS_A_BYTE * min(s - least, 2000)) for s in sizes)
-        return self.labels[sizes.index(least)], score, score < LEAST_SCORE
+        return self.labels[sizes.index(least)], score, second - least <= LEAST_MARGIN * len(data)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and rejected of every row; nothing is shuffled.
 
     A null text, one without letters (empty ones too) and any text when no language was learned is `und`, with score 0,
-    and is rejected. Equal sizes go to the label that sorts first; the score then shows the tie.
+    and is rejected. Equal sizes go to the label that sorts first and are rejected. With a single language no margin is narrow.
     """
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,18 @@ def test_languages(spark, documents, odd):
     assert not language_id.fit(documents.withColumn("lang", F.lit(None).cast("string")))
 
 
+def test_narrow_margins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    learned = language_id.learned(docs)
+    same = language_id.Classifier({"a": learned["en"], "b": learned["en"], "c": learned["fr"]})
+    text = "The weather was fine in the morning and the children went to the river with their mother. " * 3
+    label, score, rejected = same.predict(text)
+    assert label == "a" and score > 0.4 and rejected  # two equal sizes
+    assert not language_id.Classifier(learned).predict(text)[2] and not language_id.Classifier({"en": learned["en"]}).predict(text)[2]
+    out = language_id.evaluated(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang = lang_pred")
+    assert out.select(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.03
+
+
 def test_too_many_languages(spark):
     docs = spark.range(70).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
     with pytest.raises(ValueError):
