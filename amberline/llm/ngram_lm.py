@@ -8,7 +8,7 @@ and word pairs once, however often it has them. So no word or pair, however comm
 2. Words. The counts of each word are summed, the word gets a number, and both go back to each block that has it.
 3. Pairs. Each block sends its distinct pairs (context, word) with their training counts to the shards; a shard is
    told by the context. A context that makes up much of all tokens is dealt over several shards by its words.
-4. Shards. Each sums the counts, keeps the pairs that occur at least MIN_COUNT times, writes their discounted
+4. Shards. Each sums the counts, keeps the pairs that occur at least min_count times, writes their discounted
    probabilities as a trie, and answers each block from the mapped trie: the code of each pair, and for each context
    the probability that its kept successors have in all.
 5. Scores. Each block adds up its documents.
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from amberline.llm.common import filesystem, id_and_text, materialise, publish, runs, shared_dir
 from amberline.llm.elias_fano import Trie, dequantise, quantise
 
+#: The default; with 1 every pair is kept.
 MIN_COUNT, DISCOUNT = 2, 0.75
 #: A block is closed at this many tokens (a longer document is a block of its own); training tokens that a shard is
 #: made for.
@@ -186,7 +187,7 @@ class _Pairs:
             yield int(s), i, contexts[k], sizes, counts[k]
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Learns from the rows whose crc32(doc_id as text) by `modulus` is not `held`; those are held out. Rows with a null id
@@ -235,7 +236,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                     continue
                 asked = [_unpack(d) for d in data]
                 uri = f"{folder}/model/{shard}.trie"
-                _train(asked).save(uri)
+                _train(asked, min_count).save(uri)
                 trie = Trie.load(uri)
                 for block, (steps, sizes, _, word, _) in zip(blocks, asked, strict=True):
                     contexts = np.cumsum(steps).astype(np.uint64)
@@ -316,7 +317,7 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _train(asked: list[list[np.ndarray]]) -> Trie:
+def _train(asked: list[list[np.ndarray]], min_count: int) -> Trie:
     """The trie of the pairs that occur often enough in all that the blocks sent."""
     context = np.concatenate([np.repeat(np.cumsum(steps), sizes) for steps, sizes, *_ in asked])
     context_count = np.concatenate([np.repeat(counts, sizes) for _, sizes, counts, *_ in asked])
@@ -326,7 +327,7 @@ def _train(asked: list[list[np.ndarray]]) -> Trie:
     context, word, n, context_count = context[order], word[order], n[order], context_count[order]
     first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])])) if len(order) else np.zeros(0, np.int64)
     total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
-    kept, total = first[total >= MIN_COUNT], total[total >= MIN_COUNT]
+    kept, total = first[total >= min_count], total[total >= min_count]
     codes = quantise((total - DISCOUNT) / np.maximum(context_count[kept], 1))
     return Trie.of(context[kept].astype(np.uint64), word[kept].astype(np.uint64), codes)
 

@@ -59,7 +59,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(table(spark, sf_dir, "documents"), min_count=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -180,6 +180,24 @@ def test_scores(documents, odd, monkeypatch, block):
             assert abs(g[5] - w[5]) <= 1e-9 * abs(w[5]) + 1e-9 and abs(g[6] - w[6]) <= 0.002 * w[2]
 
 
+def test_every_pair_is_kept(documents):
+    """The query's scores, by a plain model that keeps pairs seen once too."""
+    from amberline.llm import queries
+
+    got = sorted((tuple(r) for r in queries.op10_ngram_lm(documents.sparkSession, "/root/testdata/sf0.001").collect()), key=str)
+    tokens = {r.doc_id: re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode())) + [None] for r in documents.collect()}
+    steps = {i: list(zip(["start", *t[:-1]], t)) for i, t in tokens.items()}
+    teach = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    single, pairs = Counter(w for i in teach for w in tokens[i]), Counter(x for i in teach for x in steps[i])
+    n, context, successors = sum(single.values()), {**single, "start": len(teach)}, Counter(u for u, _ in pairs)
+    plain = lambda w: (single[w] + 1) / (n + len(single) + 1)
+    # All of a context's occurrences have a successor, so discounting leaves 0.75 for each different one.
+    paired = lambda u, w: (max(pairs[u, w] - 0.75, 0) + 0.75 * successors[u] * plain(w)) / context[u]
+    for g in got:
+        want = sum(math.log10(paired(u, w) if u in context and w in single else plain(w)) for u, w in steps[g[0]])
+        assert abs(g[6] - want) <= 0.002 * g[2]
+
+
 def test_scores_over_many_shards(documents, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 1_000)
     got = sorted((tuple(r) for r in ngram_lm.score(documents).collect()), key=str)
