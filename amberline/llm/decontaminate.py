@@ -110,21 +110,23 @@ def _report(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 
     place = (1 << POSITION_BITS) - 1
     found = scanned.select("doc_id", "text_hash", F.explode("fps").alias("f")).select("doc_id", "text_hash", "f.length", _hash(F.col("f.fp")).alias("h"), F.col("f.fp").bitwiseAND(F.lit(place)).cast("int").alias("at"))
-    found = found.join(keys, ["length", "h"], "left_semi").select("doc_id", "text_hash", "length", "at")
-    candidates = materialise(found.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("length", "at")).alias("hits")), "candidates")
+    found = found.join(keys, ["length", "h"], "left_semi").groupBy("doc_id", "text_hash", "length").agg(F.collect_set("at").alias("at"))
+    candidates = materialise(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("length", "at")).alias("hits")), "candidates")
 
-    def around(tokens: Column, hit: Column) -> Column:
-        """The windows about a hit. In a text of over 2**20 words a position stands for all that equal it modulo that."""
-        n, last = hit["length"], F.size(tokens) - hit["length"]
+    def around(tokens: Column, hits: Column) -> Column:
+        """The windows of one length about its hits, each once. In a text of over 2**20 words a position stands for all
+        that equal it modulo that."""
+        n, last = hits["length"], F.size(tokens) - hits["length"]
         reach = F.when(n == SPAN, F.lit(WINDOW - 1)).otherwise(F.lit(0))
-        places = F.sequence(hit["at"], F.greatest(F.size(tokens), hit["at"]), F.lit(place + 1))
-        starts = lambda _: F.flatten(F.transform(places, lambda p: F.when((p - reach <= last), F.sequence(F.greatest(p - reach, F.lit(0)), F.least(p, last))).otherwise(F.array().cast("array<int>"))))
-        return _windows(tokens, n, starts)
+        near = lambda p: F.when((p - reach <= last), F.sequence(F.greatest(p - reach, F.lit(0)), F.least(p, last))).otherwise(F.array().cast("array<int>"))
+        each = lambda at: F.flatten(F.transform(F.sequence(at, F.greatest(F.size(tokens), at), F.lit(place + 1)), near))
+        # Distinct as plain numbers, which are hashed; structs would be compared pair by pair.
+        return _windows(tokens, n, lambda _: F.array_distinct(F.flatten(F.transform(hits["at"], each))))
 
     same = docs.alias("d").join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash")))
     # Rows that repeat id and text are looked at once.
     pairs = same.select("d.doc_id", "d.text_hash", "text", "hits")
-    near = pairs.select("doc_id", "text_hash", F.explode(F.array_distinct(let(words(F.col("text")), lambda w: F.flatten(F.transform("hits", lambda h: around(w, h)))))).alias("w"))
+    near = pairs.select("doc_id", "text_hash", F.explode(let(words(F.col("text")), lambda w: F.flatten(F.transform("hits", lambda h: around(w, h))))).alias("w"))
     near = near.select("doc_id", "text_hash", "w.start", "w.length", "w.window")
     matched = materialise(near.join(windows.select("window").distinct(), "window", "left_semi").distinct(), "matched")
 
@@ -143,7 +145,18 @@ def _report(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that are not contaminated."""
+    """The rows of docs, all columns, that are not contaminated.
+
+    The cases are those of `report`: null, empty and word-less texts stay, as nothing of them can be hit; rows that
+    repeat an id are judged by their own texts, those that repeat both share one judgement; a null id is judged like any
+    other; an empty benchmark removes nothing and an empty table gives no rows. Time grows in proportion to a text's
+    length, however much of it is hit. Further columns are carried along, whatever they are called, except `_bad_id` and
+    `_bad_text`, which are renamed for the join.
+    """
+    if {"_bad_id", "_bad_text"} & {c.lower() for c in docs.columns}:
+        names = docs.columns
+        plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+        return clean(plain, benchmark, f"c{names.index(id_col)}", f"c{names.index(text_col)}", item_col, item_text_col).toDF(*names)
     bad = _report(docs, benchmark, id_col, text_col, item_col, item_text_col).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text")).distinct()
     bad = materialise(bad, "contaminated")
     text_hash = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +70,25 @@ def test_positions_beyond_the_bits(spark, monkeypatch):
     assert got_report(docs, items) == want_report(docs.collect(), items.collect())
 
 
+def test_time_grows_with_the_text(spark):
+    """A document that is hit throughout: twice the words take about twice the time, not four times."""
+    items = spark.createDataFrame([(1, "word " * 20)], "item_id long, text string")
+    took = []
+    for n in (20_000, 20_000, 40_000):
+        docs = spark.createDataFrame([(1, "word " * n)], "doc_id long, text string")
+        start = time.monotonic()
+        assert [(r.n_words, r.n_hit) for r in decontaminate.report(docs, items).collect()] == [(n, n)]
+        took.append(time.monotonic() - start)
+    assert took[2] < 3 * took[1]
+
+
+def test_clean_under_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5), (2, None, 6), (3, "other", 7)], "_bad_id long, _bad_text string, text_hash long")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    left = decontaminate.clean(docs, items, "_bad_id", "_bad_text")
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(2, None, 6), (3, "other", 7)]
+
+
 def test_languages(spark, documents, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.evaluated(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
