@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,49 +40,95 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("bef
 SAMPLE_DOCS, SAMPLE_BLOCKS, BLOCK_BYTES, DICTIONARY_BYTES = 512, 4, 4096, 110_000
 #: A file is closed when its frames reach this size.
 FILE_BYTES, LEVEL = 32 << 20, 3
+#: So much of a text helps to deal out documents of equal ids.
+HEAD_CHARS = 128
 MEMO_WORDS, MEMO_BYTES = 350_000, 64
+_LETTERS = re.compile(r"[a-z]+")
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
 class WordTokenizer:
     """Encodes whole texts with a tokenizer that never joins anything across ASCII white space (it drops white space
-    before it looks at words), by encoding each distinct word once."""
+    before it looks at words), by encoding each distinct word once.
+
+    A word goes through the tokenizer's own steps: normaliser, pre-tokenizer, model. Texts that hold one of its added
+    tokens, which are matched before all that, go through the tokenizer as they are; so do all texts if it has a step
+    besides these or added tokens of another kind.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        further = [self.tokenizer.post_processor, self.tokenizer.truncation, self.tokenizer.padding]
+        self.by_word = all(x is None for x in further) and not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added)
+        self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: [(w, (x.index(w), 0)) for w in x.split(" ")]
+        self.model = self.tokenizer.model.tokenize
         # Where the normaliser does nothing to lower-case ASCII words, those skip it; where it lower-cases ASCII, so may we.
-        normalizer, probe = self.tokenizer.normalizer, "".join(map(chr, [*range(14, 32), *range(33, 65), *range(91, 128)]))
-        same = normalizer is None or normalizer.normalize_str(probe) == probe
-        self.lowers = same and normalizer is not None and normalizer.normalize_str("ABCXYZ") == "abcxyz"
-        self.plain = Tokenizer.from_file(path) if same else self.tokenizer
-        if same:
-            self.plain.encode_special_tokens, self.plain.normalizer = True, None
+        probe = "".join(map(chr, [*range(14, 32), *range(33, 65), *range(91, 128)]))
+        same = self.normalize(probe) == probe
+        self.lowers = same and self.normalize("ABCXYZ") == "abcxyz"
+        # Where the pre-tokenizer leaves a word of lower-case ASCII letters whole, such words skip that too.
+        self.whole = same and all([p for p, _ in self.split(w)] == [w] for w in [_ALPHABET, _ALPHABET[::-1], *_ALPHABET])
         # What words give, in two generations; the older is dropped when the younger has MEMO_WORDS.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The serialised ids of each text."""
-        known, older = self.known, self.older
-        split = [(t.lower() if self.lowers and t.isascii() else t).encode("utf-8").split() if t else [] for t in texts]
-        new = []
-        for w in set().union(*split).difference(known):
-            ids = older.get(w)
-            if ids is None:
-                new.append(w)
-            else:
-                known[w] = ids
-        simple = [w for w in new if w.isascii() and w == w.lower()]
-        for own, words in ((self.plain, simple), (self.tokenizer, list(set(new).difference(simple)))):
-            for at in range(0, len(words), 10_000):
-                part = words[at : at + 10_000]
-                for w, e in zip(part, own.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The serialised ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        special = np.full(len(texts), not self.by_word)
+        for token in self.added:
+            special |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(~special), texts, "") if special.any() else texts
+        if self.lowers:
+            plain = pc.if_else(pc.string_is_ascii(plain), pc.ascii_lower(plain), plain)
+        split = pc.ascii_split_whitespace(plain)
+        words = split.flatten().dictionary_encode()
+        values = self._ids(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), self.dtype)))
+        stream = memoryview(np.ascontiguousarray(lists.take(words.indices).flatten().to_numpy()).tobytes())
+        index = words.indices.to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes[index])]) * self.dtype.itemsize
+        ends = starts[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        out = [bytes(stream[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        for i in np.flatnonzero(special):
+            out[i] = self._serialised(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        return out
+
+    def _serialised(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        known, older, new, rest = self.known, self.older, [], []
+        for w in words:
+            if w not in known:
+                ids = older.get(w)
+                if ids is not None:
+                    known[w] = ids
+                else:
+                    new.append(w)
+                    if self.whole and _LETTERS.fullmatch(w):
+                        known[w] = self._serialised([t.id for t in self.model(w)])
+                    else:
+                        rest.append(w)
+        for at in range(0, len(rest), 200):
+            part = rest[at : at + 200]
+            # Several at once, as a call costs as much as a word; words with white space of other kinds one by one.
+            alone = [w for w in part if w.split() != [w]]
+            together = [w for w in part if w.split() == [w]]
+            for group in [together, *([w] for w in alone)]:
+                for w, ids in zip(group, self._several(group), strict=True):
+                    known[w] = ids
+        out = [known[w] for w in words]
         for w in new:
             if len(w) > MEMO_BYTES:
                 del known[w]
@@ -88,6 +136,17 @@ class WordTokenizer:
             self.older, self.known = known, {}
         return out
 
+    def _several(self, words: list[str]) -> list[bytes]:
+        """The ids of words through all steps at once; a space parts them."""
+        text = self.normalize(" ".join(words))
+        ends = np.cumsum([len(w) + 1 for w in text.split(" ")]) if len(words) > 1 else np.array([len(text) + 1])
+        pieces = self.split(text)
+        at = np.searchsorted(ends, [start for _, (start, _) in pieces], side="right").tolist()
+        ids: list[list[int]] = [[] for _ in words]
+        for i, (piece, _) in zip(at, pieces, strict=True):
+            ids[i] += [t.id for t in self.model(piece)]
+        return [self._serialised(x) for x in ids]
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -108,8 +167,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
         own = tokenizer(vocabulary)
         for batch in batches:
             out = []
-            for text in batch.column("text"):
-                (ids,) = own.encode([text.as_py()])
+            for at in range(batch.num_rows):
+                (ids,) = own.encode(batch.column("text").slice(at, 1))
                 starts = range(0, len(ids), BLOCK_BYTES)
                 step = max(1, -(-len(starts) // SAMPLE_BLOCKS))
                 out += [ids[s : s + BLOCK_BYTES] for s in starts[::step]]
@@ -140,6 +199,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = tokenizer(vocabulary), TaskContext.get().partitionId()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress
         end = np.array([end_id], own.dtype).tobytes()
         frames, index, offset, before, seq = [], [], HEAD_BYTES, 0, 0
@@ -160,7 +221,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), own.encode(piece.column("text")), strict=True):
                     ids += end
                     frame = compress(ids)
                     n = len(ids) // own.dtype.itemsize
@@ -175,7 +236,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The head of the text parts the rows of an id that many documents bear.
+    ordered = docs.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, HEAD_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "file string, part long, seq long, docs long, tokens long").write.parquet(f"{folder}/written.parquet")
     # One row for each file, so one task can add them up.
     in_order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as T
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,7 +21,6 @@ PATH = T.path("word_bpe_49k.json")
 
 def want_tokens(docs):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out, start = [], 0
     for doc_id, text in rows:
@@ -35,6 +36,33 @@ def test_round_trip(documents, odd):
         assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want_tokens(docs)
 
 
+def test_texts_with_added_tokens(spark):
+    """As the untouched tokenizer has it: the tokenizer's added tokens are found in the raw text, in their own case."""
+    texts = ["Hello <|endoftext|> world<|endoftext|>x", "a <|ENDOFTEXT|>b <|endof text|>", "É<|startoftext|>É x", "<|endoftext|>", "\x1c<|ENDOFTEXT|>\x1d", "<|endoftext|> " * 200 + "ß", "it's we'll 'S rock'n'roll 3rd e\u0301 H\u0331x ,.;'", "\u00a0a\u2003b\u3000", "\u0301 \u0331x", "İI ſ ǅ ⅷ ½"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = token_files.write_and_read(docs, PATH, 2).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want_tokens(docs)
+
+
+def test_words_against_the_tokenizer(monkeypatch):
+    """Random texts of odd characters, with a memory of few words."""
+    monkeypatch.setattr(token_files, "MEMO_WORDS", 50)
+    rng, plain, own = random.Random(5), Tokenizer.from_file(PATH), token_files.WordTokenizer(PATH)
+    alphabet = "abcdeABC'’st0١9.,!? \t\n\x1f\u00a0éÉßİǅ日本\u0301\u0331\u200d😀<|>"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)] + [None]
+    for at in range(0, len(texts), 97):
+        part = texts[at : at + 97]
+        want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, own.dtype).tobytes() for t in part]
+        assert own.encode(pa.array(part, pa.string())) == want
+
+
+def test_one_id_of_many_documents(spark):
+    rows = [(7 if i % 3 else i, f"text {i % 50} of {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = token_files.write_and_read(docs, PATH, 2).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want_tokens(docs)
+
+
 def test_small_files_and_single_documents(spark, documents, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_BYTES", 10_000)
     folder = shared_dir(spark, "tokens")
