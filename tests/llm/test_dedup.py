@@ -1,7 +1,9 @@
 """Exact, near and line dedup."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import xxhash
@@ -161,6 +163,87 @@ def test_lines_copied_from_later_holders(spark):
     assert got[21].n_removed == 3 and got[21].text == "x\ny"
 
 
+def want_lines(docs, least=10):
+    """Every pair of documents, every maximal run of lines that both have: what is left of each document's lines."""
+    rows = sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [[x for x in (t or "").split("\n") if x.strip(" ")] for _, t in rows]
+    out = {}
+    for d, own in enumerate(lines):
+        gone = set()
+        for other in lines[:d]:
+            places = {}
+            for j, x in enumerate(other):
+                places.setdefault(x, []).append(j)
+            for i, x in enumerate(own):
+                for j in places.get(x, ()):
+                    if i and j and own[i - 1] == other[j - 1]:
+                        continue
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    if sum(line_dedup.weight(y) for y in own[i : i + n]) >= least:
+                        gone |= set(range(i, i + n))
+        out[rows[d][0]] = (len(own), len(gone), sum(len(own[i].split()) for i in gone))
+    return out
+
+
+def got_lines(df):
+    return {r.doc_id: (r.n_lines, r.n_removed, r.words_removed) for r in line_dedup.deduplicate(df).collect()}
+
+
+def test_lines_against_all_pairs(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    want = want_lines(rows)
+    assert got_lines(documents) == want and sum(n for _, n, _ in want.values()) > 20
+    rng = random.Random(3)
+    for words, vocabulary, size in ((3, 6, 12), (5, 12, 25), (2, 3, 40)):
+        pool = [" ".join([f"w{i}"] * rng.randint(1, 2 * words)) for i in range(vocabulary)]
+        rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {k}" for k in range(rng.randint(0, size)))) for i in range(60)]
+        rows += [(100 + i, rows[i * 3][1]) for i in range(10)]
+        assert got_lines(spark.createDataFrame(rows, "doc_id long, text string")) == want_lines(rows)
+
+
+def test_lines_of_common_passages(spark, monkeypatch):
+    """Passages of many holders, dealt over several tasks, beside those of few."""
+    monkeypatch.setattr(line_dedup, "SHARE", 7)
+    passage = [f"common line {i} of the notice" for i in range(4)]
+    rows = [(i, "\n".join([f"own start {i}", *passage[i % 2 :], f"own middle {i}", *(passage if i % 3 == 0 else passage[::-1]), f"shared by few {i // 3} with ten words in this line here"])) for i in range(60)]
+    assert got_lines(spark.createDataFrame(rows, "doc_id long, text string")) == want_lines(rows)
+
+
+def test_lines_that_are_no_block(spark):
+    lead = "a line of ten words that stands first in both here"
+    earlier = "\n".join([lead, "b one", "c two", "d three", "Read more", "f five", "Read more"])
+    later = "\n".join([lead, "Read more", "n new line", "Read more"])
+    z, p, q, x, y = (f"{c} is one of the lines of twelve words in these three texts" for c in "zpqxy")
+    df = spark.createDataFrame([(1, earlier), (2, later), (11, "\n".join([z, p, q, x])), (12, "\n".join([x, y, z])), (13, "\n".join([x, y, z]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.deduplicate(df).collect()}
+    assert got[2].n_removed == 1 and got[2].text == "\n".join(later.split("\n")[1:])
+    assert got[12].n_removed == 2 and got[12].text == y and got[13].n_removed == 3
+
+
+def test_lines_of_scripts_without_spaces(spark):
+    passage = "\n".join(["吾輩は猫である。名前はまだ無い。", "どこで生れたかとんと見当がつかぬ。"])
+    df = spark.createDataFrame([(1, f"{passage}\n一"), (2, f"二\n{passage}"), (3, "二\n一")], "doc_id long, text string")
+    assert got_lines(df) == {1: (3, 0, 0), 2: (3, 2, 2), 3: (2, 0, 0)}
+    assert line_dedup.deduplicate(df.where("false")).count() == 0
+
+
+def test_repeated_lines_take_linear_time():
+    def took(n):
+        lines = [f"line {i % 50} of six words each" for i in range(n)]
+        digests = [f"{i % 50:016d}".encode() for i in range(n)]
+        start = time.process_time()
+        weights = [line_dedup.weight(x) for x in lines]
+        earlier = line_dedup.Earlier(b"".join(digests[:100]), weights[:100], 10)
+        runs = [(s, b"".join(digests[s:e])) for s, e in line_dedup.shortest_runs(weights, 10)]
+        assert len(earlier.align(runs)) == n
+        return time.process_time() - start
+
+    took(10_000)
+    assert took(80_000) < 8 * took(20_000)
+
+
 def test_rising():
     assert line_dedup.rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4]) and line_dedup.rising([]) == []
 
