@@ -16,15 +16,18 @@ index is at a known place, so a reader gets one short document with three range
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,9 +44,9 @@ SAMPLE_DOCS, SAMPLE_BLOCKS, BLOCK_BYTES, DICTIONARY_BYTES = 512, 4, 4096, 110_00
 #: A file is closed when its frames reach this size.
 FILE_BYTES, LEVEL = 32 << 20, 3
 #: So much of a text helps to deal out documents of equal ids.
-HEAD_CHARS = 128
-MEMO_WORDS, MEMO_BYTES = 350_000, 64
-_LETTERS = re.compile(r"[a-z]+")
+HEAD_CHARS = 32
+MEMO_WORDS, MEMO_BYTES = 450_000, 64
+_LETTERS, _PRINTABLE = re.compile(r"[a-z]+"), re.compile(r"[!-~]+")
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,10 +78,23 @@ class WordTokenizer:
         self.lowers = same and self.normalize("ABCXYZ") == "abcxyz"
         # Where the pre-tokenizer leaves a word of lower-case ASCII letters whole, such words skip that too.
         self.whole = same and all([p for p, _ in self.split(w)] == [w] for w in [_ALPHABET, _ALPHABET[::-1], *_ALPHABET])
+        self.ascii_pieces = self._ascii_split() if same else None
+        self.code = self.dtype.char
         # What words give, in two generations; the older is dropped when the younger has MEMO_WORDS.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _ascii_split(self):
+        """What finds the pieces of printable ASCII words, if the pre-tokenizer is a pattern whose matches are the pieces
+        and a map of bytes, which leaves such characters as they are; None if it is anything else."""
+        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+            return None
+        split, mapped = steps
+        if split["behavior"] != "Removed" or not split["invert"] or mapped["add_prefix_space"] or mapped["use_regex"]:
+            return None
+        return regex.compile(split["pattern"]["Regex"]).findall
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The serialised ids of each text; null counts as empty."""
         texts = pc.fill_null(texts, "")
@@ -104,7 +120,16 @@ class WordTokenizer:
         return out
 
     def _serialised(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of what the pre-tokenizer gives. A word of letters alone may be known as such."""
+        if not self.whole or not _LETTERS.fullmatch(piece):
+            return self._serialised([t.id for t in self.model(piece)])
+        ids = self.known.get(piece) or self.older.get(piece)
+        if ids is None:
+            self.known[piece] = ids = self._serialised([t.id for t in self.model(piece)])
+        return ids
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
@@ -116,8 +141,11 @@ class WordTokenizer:
                     known[w] = ids
                 else:
                     new.append(w)
-                    if self.whole and _LETTERS.fullmatch(w):
-                        known[w] = self._serialised([t.id for t in self.model(w)])
+                    low = w.lower() if self.lowers and w.isascii() else w
+                    if self.whole and _LETTERS.fullmatch(low):
+                        known[w] = self._piece(low)
+                    elif self.ascii_pieces and _PRINTABLE.fullmatch(low):
+                        known[w] = b"".join(map(self._piece, self.ascii_pieces(low)))
                     else:
                         rest.append(w)
         for at in range(0, len(rest), 200):
@@ -142,10 +170,10 @@ class WordTokenizer:
         ends = np.cumsum([len(w) + 1 for w in text.split(" ")]) if len(words) > 1 else np.array([len(text) + 1])
         pieces = self.split(text)
         at = np.searchsorted(ends, [start for _, (start, _) in pieces], side="right").tolist()
-        ids: list[list[int]] = [[] for _ in words]
+        ids: list[list[bytes]] = [[] for _ in words]
         for i, (piece, _) in zip(at, pieces, strict=True):
-            ids[i] += [t.id for t in self.model(piece)]
-        return [self._serialised(x) for x in ids]
+            ids[i].append(self._piece(piece))
+        return [b"".join(x) for x in ids]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
