@@ -63,65 +63,86 @@ def templates(spark) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, licence, text, full)")
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
-    """path, licence, score, basis (notice, file, inherited or none) and origin (the path that the licence comes from).
-
-    Weights are term counts times log((1 + files) / (1 + files with the term)) + 1, over all files; a word that no
-    template has weighs as if no file had it; for notices only the short templates count, whole licences are for licence
-    files. The best template of a file is the one of highest cosine, at least `least`, then of the smaller licence name;
-    an SPDX identifier of a licence that has a template scores 1. A
-    null or empty text has no licence of its own; a null path has no directory and inherits nothing. Rows that repeat a
-    path are one file: it has the best licence that any of them has, and each row gets it. An empty table gives no rows.
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least: float = LEAST_COSINE, all_words: bool = False) -> DataFrame:
+    """path, licence, score, basis (notice, file, inherited or none), origin (the path that the licence comes from) and
+    margin (how much the cosine is above that of the next licence; null for identifiers).
+
+    Weights are term counts times log((1 + n) / (1 + n with the term)) + 1. With `all_words` the n are the different
+    pieces that are compared, and every word of them is counted. Without it the n are the files, only words that a
+    template has are counted, any other weighs as if no file had it, and for notices only the short templates' words are.
+    Notices are compared with the short templates, licence files with whole licences too; what the whole text of a licence
+    file says comes before what its notices say. The best template is the one of highest cosine, at least `least`, then
+    of the smaller licence name; an SPDX identifier of a licence that has a template scores 1. A null or empty text has
+    no licence of its own; a null path has no directory and inherits nothing. Rows that repeat a path are one file: it
+    has the best licence that any of them has, and each row gets it. Very long texts are compared as a whole too. Columns
+    besides path and text take no part, whatever their names. An empty table gives no rows.
     """
     spark = files.sparkSession
     files = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Bounded by the templates alone, whatever the data.
     terms = materialise(templates(spark).select("template", "licence", "full", F.explode(tokens(F.col("text"))).alias("term")).groupBy("template", "licence", "full", "term").agg(F.count("*").alias("tf")), "terms")
-    vocabulary = terms.groupBy("term").agg((~F.min("full")).alias("short"))
 
-    # Statistics over all files, of the words that the templates have.
-    of_file = files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    counted = of_file.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = files.count()
-    idf = materialise(vocabulary.join(counted, "term", "left").select("term", "short", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
-    rarest = F.lit(math.log(1 + n) + 1)
+    # A licence file is compared as a whole; of every file, its notice lines and the paragraphs that have one are.
+    is_licence = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    piece = lambda x, whole: F.struct(F.lit(whole).alias("whole"), x.alias("piece"))
+    notices = F.transform(F.array_distinct(F.filter(F.concat(F.split("text", "\n"), F.split("text", GAP)), lambda x: x.rlike(NOTICE))), lambda x: piece(x, False))
+    none = F.array().cast("array<struct<whole:boolean,piece:string>>")
+    cut = F.concat(F.when(is_licence, F.array(piece(F.col("text"), True))).otherwise(none), F.when(F.col("text").rlike(NOTICE), notices).otherwise(none))
+    pieces = files.select("path", is_licence.alias("is_licence"), F.explode(cut).alias("p")).select("path", "is_licence", "p.whole", "p.piece").where(F.col("piece") != "")
+    # Equal pieces are compared once, however many files hold them.
+    hashed = pieces.withColumn("digest", F.sha2("piece", 256))
+    distinct = hashed.groupBy("whole", "digest").agg(F.first("piece").alias("piece"))
+    counts = distinct.select("whole", "digest", F.explode(tokens(F.col("piece"))).alias("term")).groupBy("whole", "digest", "term").agg(F.count("*").alias("tf"))
+    counts = materialise(counts, "counts")
+
+    vocabulary = terms.groupBy("term").agg((~F.min("full")).alias("short"))
+    if all_words:
+        n = counts.select("whole", "digest").distinct().count()
+        counted = counts.groupBy("term").agg(F.count("*").alias("df"))
+        idf = vocabulary.select("term").join(counted, "term", "full").select("term", F.lit(True).alias("short"), (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    else:
+        # Statistics over all files, of the words that the templates have.
+        of_file = files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        counted = of_file.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        n = files.count()
+        idf = vocabulary.join(counted, "term", "left").select("term", "short", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+    idf, rarest = materialise(idf, "idf"), F.lit(math.log(1 + n) + 1)
 
     weights = terms.join(idf, "term").select("template", "licence", "full", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weights = materialise(weights.join(norms, "template").select("template", "licence", "full", "term", (F.col("w") / F.col("norm")).alias("tw")), "weights")
 
-    # A licence file is compared as a whole; of every other file, its notice lines and the paragraphs that have one are.
-    whole = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    pieces = files.select("path", whole.alias("whole"), F.explode(F.when(whole, F.array("text")).when(F.col("text").rlike(NOTICE), F.array_distinct(F.filter(F.concat(F.split("text", "\n"), F.split("text", GAP)), lambda x: x.rlike(NOTICE)))).otherwise(F.array().cast("array<string>"))).alias("piece")).where(F.col("piece") != "")
-    # Equal pieces are compared once, however many files hold them.
-    hashed = pieces.withColumn("digest", F.sha2("piece", 256))
-    distinct = hashed.groupBy("whole", "digest").agg(F.first("piece").alias("piece"))
-    counts = distinct.select("whole", "digest", F.explode(tokens(F.col("piece"))).alias("term")).groupBy("whole", "digest", "term").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(idf), "term", "left").select("whole", "digest", "term", (F.col("tf") * F.coalesce(F.when(F.col("whole") | F.col("short"), F.col("idf")), rarest)).alias("w"))
+    # The frequencies of all words grow with the files: no broadcast is asked for.
+    weighed = counts.join(idf, "term", "left").select("whole", "digest", "term", (F.col("tf") * F.coalesce(F.when(F.col("whole") | F.col("short"), F.col("idf")), rarest)).alias("w"))
     lengths = weighed.groupBy("whole", "digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighed.join(F.broadcast(weights), "term").where(F.col("whole") | ~F.col("full")).groupBy("whole", "digest", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    close = dots.join(lengths, ["whole", "digest"]).select("whole", "digest", "licence", F.round(F.col("dot") / F.col("length"), DIGITS).alias("score")).where(F.col("score") >= least)
-    best = lambda by: F.min(F.struct((-F.col("score")).alias("minus"), F.col("licence"), *by)).alias("best")
-    of_piece = materialise(close.groupBy("whole", "digest").agg(best([])).select("whole", "digest", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")), "pieces")
+    scored = dots.join(lengths, ["whole", "digest"]).groupBy("whole", "digest", "licence").agg(F.max(F.round(F.col("dot") / F.col("length"), DIGITS)).alias("score"))
+    # As many entries as there are licences.
+    near = scored.groupBy("whole", "digest").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "licence"))).alias("near"))
+    first, second = F.col("near")[0], F.get("near", F.lit(1))
+    of_piece = near.where(-first["minus"] >= least).select("whole", "digest", first["licence"].alias("licence"), (-first["minus"]).alias("score"), F.round(F.coalesce(second["minus"], F.lit(0.0)) - first["minus"], DIGITS).alias("margin"))
+    of_piece = materialise(of_piece, "pieces")
+    best = lambda by: F.min(F.struct(*by, (-F.col("score")).alias("minus"), "licence", "margin")).alias("best")
+
     named = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+)$", "")
     names = sorted({name for name, _ in TEMPLATES if name != "proprietary"} | TEXTS.keys())
-    told = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", whole.alias("whole"), named.alias("licence"), F.lit(1.0).alias("score")).where(F.col("licence").isin(names))
-    own = hashed.select("path", "whole", "digest").join(of_piece, ["whole", "digest"]).select("path", "whole", "licence", "score").unionByName(told)
-    own = own.groupBy("path", "whole").agg(best([]))
-    own = materialise(own.select("path", "whole", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score")), "own")
+    told = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", is_licence.alias("is_licence"), F.lit(True).alias("whole"), named.alias("licence"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("margin")).where(F.col("licence").isin(names))
+    own = hashed.select("path", "is_licence", "whole", "digest").join(of_piece, ["whole", "digest"]).select("path", "is_licence", "whole", "licence", "score", "margin").unionByName(told)
+    own = own.groupBy("path", "is_licence").agg(best([(~F.col("whole")).alias("part")]))
+    own = materialise(own.select("path", "is_licence", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"), F.col("best.margin").alias("margin")), "own")
 
     # The best licence of each directory that holds licence files, then each file's ancestors, nearest first.
     directory = F.regexp_replace("path", r"/?[^/]*$", "")
-    directories = own.where("whole").select(directory.alias("directory"), "licence", "score", "path").groupBy("directory").agg(best([F.col("path")]))
-    directories = materialise(directories.select("directory", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"), F.col("best.path").alias("origin")), "directories")
+    directories = own.where("is_licence").select(directory.alias("directory"), "licence", "score", "margin", "path").groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence", "path", "margin")).alias("best"))
+    directories = materialise(directories.select("directory", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"), F.col("best.margin").alias("margin"), F.col("best.path").alias("origin")), "directories")
     paths = files.select("path")
     without = paths.where(F.col("path").isNotNull()).distinct().join(own.select("path"), "path", "left_anti")
     parts = F.split(directory, "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("directory")))
     above = without.select("path", F.explode(ancestors).alias("a")).select("path", "a.depth", "a.directory").distinct()
-    nearest = above.join(directories, "directory").groupBy("path").agg(F.max(F.struct("depth", "licence", "score", "origin")).alias("up"))
-    inherited = nearest.select("path", F.col("up.licence").alias("licence"), F.col("up.score").alias("score"), F.lit("inherited").alias("basis"), F.col("up.origin").alias("origin"))
-    told = own.select("path", "licence", "score", F.when(F.col("whole"), "file").otherwise("notice").alias("basis"), F.col("path").alias("origin")).unionByName(inherited)
+    nearest = above.join(directories, "directory").groupBy("path").agg(F.max(F.struct("depth", "licence", "score", "margin", "origin")).alias("up"))
+    inherited = nearest.select("path", F.col("up.licence").alias("licence"), F.col("up.score").alias("score"), F.lit("inherited").alias("basis"), F.col("up.origin").alias("origin"), F.col("up.margin").alias("margin"))
+    told = own.select("path", "licence", "score", F.when(F.col("is_licence"), "file").otherwise("notice").alias("basis"), F.col("path").alias("origin"), "margin").unionByName(inherited)
     told = materialise(told, "licences")
     out = paths.alias("f").join(told.alias("t"), F.col("f.path").eqNullSafe(F.col("t.path")), "left")
-    return out.select("f.path", "licence", "score", F.coalesce("basis", F.lit("none")).alias("basis"), "origin")
+    return out.select("f.path", "licence", "score", F.coalesce("basis", F.lit("none")).alias("basis"), "origin", "margin")

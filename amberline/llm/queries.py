@@ -50,12 +50,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.evaluated(table(spark, sf_dir, "documents"))
 
 
+def licence_files(docs: DataFrame) -> DataFrame:
+    """The documents as files below source, language and tens of ids; the first of each ten is its directory's NOTICE."""
+    name = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("NOTICE."), F.col("doc_id"))).otherwise(F.concat(F.col("doc_id"), F.lit(".txt")))
+    return docs.select(F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 10).cast("string"), name).alias("path"), "text")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files: source and language are their directories."""
-    docs = table(spark, sf_dir, "documents")
-    files = docs.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
-    out = license_scan.scan(files)
-    return out.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "licence", F.round("score", 6).alias("score"), "basis", "origin")
+    out = license_scan.scan(licence_files(table(spark, sf_dir, "documents")), all_words=True)
+    number = lambda c: F.regexp_extract(c, r"(\d+)(\.txt)?$", 1).cast("long")
+    return out.select(number("path").alias("doc_id"), "licence", F.round("score", 6).alias("score"), "basis", number("origin").alias("origin"), F.round("margin", 6).alias("margin"))
 
 
 def op10_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
