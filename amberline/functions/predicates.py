@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from amberline.functions.scalars import canonical
+
 
 def _false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -22,6 +24,11 @@ def ne(x: Column, y) -> Column:
     return ~x.eqNullSafe(y)
 
 
+def same_text(x: Column, y: Column, kinds: tuple[str, str] = ("string", "string")) -> Column:
+    """Equal as canonical text, whatever the types: the text "8" equals the number 8, null equals null."""
+    return canonical(x, kinds[0]).eqNullSafe(canonical(y, kinds[1]))
+
+
 def lt(x: Column, y) -> Column:
     return _false(x < y)
 

@@ -67,8 +67,10 @@ def json_value(x: Column, path: str = "$") -> Column:
 
 
 def canonical(x: Column, kind: str) -> Column:
-    """The text that stands for a value where values of any type are compared."""
+    """The text that stands for a value where values of any type are compared. Whole doubles have no fraction."""
     text = F.when(x, "PRAWDA").otherwise("FAŁSZ") if kind == "boolean" else x.cast("string")
+    if kind in ("double", "float"):
+        text = F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string")).otherwise(text)
     return F.when(x.isNull(), "NIC").otherwise(text)
 
 

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from amberline.tables import materialise
+from amberline.tables import discard, materialise
 
 
 def neighbours(rels: DataFrame, name: str) -> DataFrame:
@@ -83,13 +83,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written and read again. Edges may repeat or point both ways; loops count for nothing; no edges give no
     rows.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, seen = materialise(edges, "edges"), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges, seen = materialise(_small_star(_large_star(edges)), "edges"), now
+    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _are_stars(edges):
+        last, edges = edges, materialise(_small_star(_large_star(edges)), "edges")
+        discard(last)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge and leads to one that has none. Ends at the first that does not."""
+    several = edges.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("n")).where("m <> n").select("a")
+    between = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return several.unionByName(between).isEmpty()
 
 
 def regions(nodes: DataFrame, rels: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from amberline.functions.scalars import sort_keys
+
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
@@ -30,11 +32,12 @@ def related(df: DataFrame, rels: DataFrame, relation: str, target: str, name: st
 # --- aggregates ----------------------------------------------------------------------------------------------------
 
 
-def aggregate(function: str, x: Column) -> Column:
-    """SUM and AVG of nothing are 0, MIN and MAX of nothing null; COUNT passes over nulls."""
+def aggregate(function: str, x: Column, window=None) -> Column:
+    """SUM and AVG of nothing are 0, MIN and MAX of nothing null; COUNT passes over nulls. Over a window, if one is given."""
+    at = (lambda c: c.over(window)) if window is not None else (lambda c: c)
     return {
-        "sum": lambda: F.coalesce(F.sum(x), F.lit(0)), "avg": lambda: F.coalesce(F.avg(x), F.lit(0.0)), "min": lambda: F.min(x), "max": lambda: F.max(x),
-        "count": lambda: F.count(x), "count_distinct": lambda: F.count_distinct(x),
+        "sum": lambda: F.coalesce(at(F.sum(x)), F.lit(0)), "avg": lambda: F.coalesce(at(F.avg(x)), F.lit(0.0)), "min": lambda: at(F.min(x)), "max": lambda: at(F.max(x)),
+        "count": lambda: at(F.count(x)), "count_distinct": lambda: at(F.count_distinct(x)),
     }[function.lower()]()
 
 
@@ -64,6 +67,23 @@ def over(partition: list[str], order: list[Column] = (), rows: tuple[int, int] |
     return w.rowsBetween(*(rows or (FIRST, 0)))
 
 
+def over_frame(function: str, x: Column, partition: list[str], order: list[Column], start: int, end: int) -> Column:
+    """SUM, AVG, MIN, MAX or COUNT over the rows from `start` to `end` off the current one. Bounds beyond the partition
+    stand for its first or last row, so no frame is empty; bounds in turned order are swapped."""
+    w = Window.partitionBy(*partition).orderBy(*order)
+    place, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(*partition))
+    low, high = min(start, end), max(start, end)
+    whole = w.rowsBetween(FIRST, LAST)
+    outside = lambda value: aggregate_one(function, value)
+    plain = aggregate(function, x, w.rowsBetween(low, high))
+    return F.when(place + high < 1, outside(F.first(x).over(whole))).when(place + low > n, outside(F.last(x).over(whole))).otherwise(plain)
+
+
+def aggregate_one(function: str, x: Column) -> Column:
+    """The aggregate of a single value."""
+    return {"sum": F.coalesce(x, F.lit(0)), "avg": F.coalesce(x, F.lit(0.0)), "min": x, "max": x, "count": F.when(x.isNull(), 0).otherwise(1)}[function.lower()]
+
+
 def ntile(n: int, partition: list[str], order: list[Column]) -> Column:
     """Bucket floor((i - 1) * n / rows) + 1 of the i-th row."""
     rows = F.count("*").over(Window.partitionBy(*partition))
@@ -107,8 +127,19 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 # --- sorting -------------------------------------------------------------------------------------------------------
 
 
-def ordered(df: DataFrame, by: list[str], descending: bool = False, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """One direction for all keys, nulls first ascending and last descending."""
-    out = df.orderBy(*[F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in by])
+def ordered(df: DataFrame, by: list[str], descending: bool = False, limit: int | None = None, offset: int = 0, name: str | None = None) -> DataFrame:
+    """One direction for all keys, nulls first ascending and last descending. Dynamic values (structs with a vtype) go
+    null, numbers, truth values, text. Keys that no column has count for nothing. `name` is the column that settles ties;
+    without a key rows are in its order."""
+    kinds, keys = {f.name: f.dataType for f in df.schema.fields}, []
+    for c in by:
+        if c not in kinds:
+            continue
+        if "vtype" in getattr(kinds[c], "names", ()):
+            keys += sort_keys(F.col(c), descending)
+        else:
+            keys.append(F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first())
+    keys += [F.col(name).asc()] if name else []
+    out = df.orderBy(*keys) if keys else df
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit is not None else out

@@ -17,8 +17,9 @@ def tokens(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays: both empty 1, one empty 0."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
+    shared = F.size(F.array_intersect(a, b))
+    # The arrays are sets, so the union needs no building.
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 def lorentz(v: Column, de: Column | float = 0.0, g: float = G) -> Column:
@@ -60,6 +61,25 @@ def resonance_search(atoms: DataFrame, query: str, text_col: str = "E", name_col
     return scored.orderBy(score.desc(), name_col).limit(top).select(name_col).distinct().orderBy(name_col)
 
 
+def resonating(atoms: DataFrame, query: Column | str, t_min: float = 0.0, r_min: float = R_MIN, limit: int | None = 10, text_col: str = "E", name_col: str = "name") -> DataFrame:
+    """Atoms of at least t_min whose resonance R with a text is at least r_min, strongest first, then by name. `query` is a
+    text or a one-row column joined to `atoms`. With no limit it gives a set for `thermal.tick` to retain."""
+    q = F.lit(query) if isinstance(query, str) else query
+    found = atoms.where(F.col("T") >= t_min).withColumn("R", F.round(lorentz(jaccard(tokens(F.col(text_col)), tokens(q))), 9)).where(F.col("R") >= r_min)
+    return found.orderBy(F.col("R").desc(), name_col).limit(limit) if limit is not None else found
+
+
+def retained_by_resonance(atoms: DataFrame, query: str, traces: DataFrame | None = None, now: int = 0, least: float = R_MIN, text_col: str = "E") -> DataFrame:
+    """atom_id of the atoms whose resonance with a text, or whose relevance where a memory of traces (key: atom_id, epoch,
+    r) is given, is at least `least`: a set for `thermal.tick`."""
+    r = lorentz(jaccard(tokens(F.col(text_col)), tokens(F.lit(query))))
+    scored = atoms.select("atom_id", r.alias("R"))
+    if traces is None:
+        return scored.where(F.col("R") >= least).select("atom_id")
+    known = memory(traces, now).withColumnRenamed("key", "atom_id")
+    return scored.join(known, "atom_id", "left").where(relevance(F.col("R"), F.coalesce("M", F.lit(0.0))) >= least).select("atom_id")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

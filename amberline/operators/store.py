@@ -1,8 +1,17 @@
 """A store of entities with typed properties, relations, history and temperature.
 
-The state is a set of tables in long form; every change gives a new set, so a transaction keeps the old one and a
-rollback returns to it. Statements work on sets of rows. Each changed table is written to the shared folder, so that
-plans stay short however many changes went before.
+A statement appends rows: what it sets, and marks for what it ends, under its number `seq`. Nothing is rewritten; a
+reader takes the last row of each key, and history is the rows before that. A transaction keeps the list of folders that
+were there, and a rollback returns to it. `compact` writes what is still valid as one folder, parted by a hash of the
+entity's name, so that reading one entity opens a few files.
+
+    bubbles(ns, name, seq, op)                  op: set, gone (ends the entity, its properties and history up to seq)
+    props(ns, name, key, vtype, v_text, v_num, v_bool, v_json, atom_id, ts, T, seq, sub, op)
+                                                op: set, heat (the same value at another temperature), remove, gone (ends
+                                                the key and its history), ARCHIVE and DELETED (old values alone)
+    rels(ns, source, relation, target, seq, op) op: set, gone
+
+What readers see, by `table`:
 
     bubbles(ns, name)
     props(ns, name, key, vtype, v_text, v_num, v_bool, v_json, atom_id, ts, T)
@@ -12,17 +21,19 @@ plans stay short however many changes went before.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import json
 import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amberline.functions.scalars import parsed
-from amberline.operators.thermal import T_INIT, clamped, state
-from amberline.tables import materialise
+from amberline.operators.thermal import HEAT_READ, T_HOT, T_INIT, clamped, state
+from amberline.tables import materialise, shared_dir
 
 VALUE = ["vtype", "v_text", "v_num", "v_bool", "v_json"]
 SCHEMAS = {
@@ -31,7 +42,32 @@ SCHEMAS = {
     "rels": "ns string, source string, relation string, target string",
     "history": "ns string, name string, key string, status string, v_text string, ts long, seq long",
 }
+#: What is appended, and the parts of a compacted folder.
+LOGS = {
+    "bubbles": "ns string, name string, seq long, op string, bucket int",
+    "props": SCHEMAS["props"] + ", seq long, sub long, op string, bucket int",
+    "rels": SCHEMAS["rels"] + ", seq long, op string, bucket int",
+}
+OWNER = {"bubbles": "name", "props": "name", "rels": "source"}
+BUCKETS = 16
 DEFAULT = "DEFAULT"
+#: Words for null, which name no entity.
+NULLS = ("NIC", "NULL", "")
+
+
+def columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def bucket(ns: Column, name: Column) -> Column:
+    return F.pmod(F.xxhash64(ns, name), F.lit(BUCKETS)).cast("int")
+
+
+def first_free(wanted: DataFrame, used: DataFrame) -> DataFrame:
+    """stem and n for each stem of `wanted`: the smallest number from 1 that `used` (stem, n) lacks."""
+    used = used.join(wanted, "stem", "left_semi").distinct()
+    candidates = wanted.select("stem", F.lit(1).alias("n")).unionByName(used.select("stem", (F.col("n") + 1).alias("n")))
+    return candidates.join(used, ["stem", "n"], "left_anti").groupBy("stem").agg(F.min("n").alias("n"))
 
 
 class StoreError(ValueError):
@@ -55,7 +91,8 @@ def typed(value) -> tuple:
 class Store:
     def __init__(self, spark: SparkSession):
         self.spark, self.ns = spark, DEFAULT
-        self.tables = {k: spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
+        self.folders: dict[str, tuple[str, ...]] = {k: () for k in LOGS}
+        self.bases: dict[str, str | None] = dict.fromkeys(LOGS)
         self.views: dict[str, Callable[[Store], DataFrame]] = {}
         self.indexes: set[str] = set()
         self.rules: list[tuple[str, str, Callable | None]] = []
@@ -63,21 +100,86 @@ class Store:
 
     # --- state ---
 
-    def _put(self, **tables: DataFrame) -> None:
-        for k, df in tables.items():
-            self.tables[k] = materialise(df.select(*[c.split()[0] for c in SCHEMAS[k].split(", ")]), k)
+    def _append(self, table: str, rows: DataFrame) -> None:
+        path, schema = shared_dir(self.spark, table), columns(LOGS[table])
+        rows = rows.withColumn("bucket", bucket(F.col("ns"), F.col(OWNER[table])))
+        rows.select(*schema).write.option("compression", "zstd").parquet(path)
+        self.folders[table] = (*self.folders[table], path)
+
+    def _log(self, table: str, name: str | None = None) -> DataFrame:
+        """What was appended; of one entity, if it is named."""
+        parts = []
+        if self.bases[table]:
+            parts.append(self.spark.read.schema(LOGS[table]).parquet(self.bases[table]).select(*columns(LOGS[table])))
+        if self.folders[table]:
+            parts.append(self.spark.read.schema(LOGS[table]).parquet(*self.folders[table]))
+        out = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], LOGS[table])
+        if name is not None:
+            out = out.where((F.col("bucket") == bucket(F.lit(self.ns), F.lit(name))) & (F.col("ns") == self.ns) & (F.col(OWNER[table]) == name))
+        return out
 
-    def _own(self, name: str) -> DataFrame:
-        return self.tables[name].where(F.col("ns") == self.ns)
+    def _living(self, name: str | None = None) -> DataFrame:
+        """Rows of props that no end of their entity or key came after."""
+        ends = self._log("bubbles", name).where("op = 'gone'").groupBy("ns", "name").agg(F.max("seq").alias("_end"))
+        rows = self._log("props", name)
+        keys = rows.where("op = 'gone'").groupBy("ns", "name", "key").agg(F.max("seq").alias("_last"))
+        rows = rows.join(ends, ["ns", "name"], "left").where("_end IS NULL OR seq > _end")
+        return rows.join(keys, ["ns", "name", "key"], "left").where("_last IS NULL OR seq > _last").drop("_end", "_last", "bucket")
+
+    def table(self, name: str, of: str | None = None) -> DataFrame:
+        """bubbles, props, rels or history as they are now; of one entity (a relation's source), if it is named."""
+        if name == "history":
+            order = Window.partitionBy("ns", "name", "key").orderBy("seq", "sub")
+            rows = self._living(of).where("op <> 'heat'").withColumn("_next", F.lead("op").over(order)).withColumn("_n", F.row_number().over(order).cast("long"))
+            own = F.col("op").isin("ARCHIVE", "DELETED")
+            status = F.when(own, F.col("op")).when(F.col("_next") == "remove", "DELETED").otherwise("ARCHIVE")
+            old = rows.where((F.col("op") != "remove") & (own | F.col("_next").isNotNull()))
+            return old.select("ns", "name", "key", status.alias("status"), "v_text", "ts", F.col("_n").alias("seq"))
+        names = columns(SCHEMAS[name])
+        if name == "props":
+            rest = [c for c in names if c not in ("ns", "name", "key")]
+            last = self._living(of).groupBy("ns", "name", "key").agg(F.max_by(F.struct("op", *rest), F.struct("seq", "sub")).alias("r"))
+            return last.where("r.op IN ('set', 'heat')").select("ns", "name", "key", *[F.col(f"r.{c}").alias(c) for c in rest])
+        return self._log(name, of).groupBy(*names).agg(F.max_by("op", F.struct("seq", "op")).alias("op")).where("op = 'set'").drop("op")
+
+    def _own(self, name: str, of: str | None = None) -> DataFrame:
+        return self.table(name, of).where(F.col("ns") == self.ns)
+
+    def compact(self) -> None:
+        """One folder for each table with what is valid, old values included."""
+        now = {t: self.table(t).withColumns({"seq": F.lit(0).cast("long"), "op": F.lit("set")}) for t in ("bubbles", "rels")} | {"props": self._living()}
+        for t, rows in now.items():
+            path = shared_dir(self.spark, t)
+            parted = rows.withColumn("bucket", bucket(F.col("ns"), F.col(OWNER[t]))).repartition("bucket", OWNER[t])
+            parted.select(*columns(LOGS[t])).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+            now[t] = path
+        for t, path in now.items():
+            empty = self.spark.read.schema(LOGS[t]).parquet(path).isEmpty()
+            self.bases[t], self.folders[t] = None if empty else path, ()
+
+    def load_tables(self, tables: dict[str, DataFrame]) -> None:
+        """Take over bubbles, props, rels and history as `table` gives them."""
+        self._seq += 1
+        now = F.lit(self._seq).cast("long")
+        for t in ("bubbles", "rels"):
+            self._append(t, tables[t].withColumns({"seq": now, "op": F.lit("set")}))
+        # Old values first, in their order, then the current ones.
+        old = tables["history"].select("ns", "name", "key", F.col("status").alias("op"), "v_text", "ts", F.col("seq").alias("sub"))
+        self._append("props", tables["props"].withColumns({"seq": now, "sub": F.lit(1 << 62), "op": F.lit("set")}).unionByName(old.withColumn("seq", now), allowMissingColumns=True))
+        self._seq += 1
+        self.namespaces |= {r.ns for r in tables["bubbles"].select("ns").distinct().collect()}
+
+    def _state(self) -> tuple:
+        return self.ns, dict(self.folders), dict(self.bases), dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)
 
     def begin(self) -> None:
-        self._saved.append((self.ns, dict(self.tables), dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)))
+        self._saved.append(self._state())
 
     def commit(self) -> None:
         self._saved.pop()
 
     def rollback(self) -> None:
-        self.ns, self.tables, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
+        self.ns, self.folders, self.bases, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
 
     def transaction(self, *steps: Callable[[Store], object]) -> list:
         """All steps or none."""
@@ -149,9 +251,11 @@ class Store:
                 raise StoreError(f"{kind} {key}")
         return new
 
-    def violations(self, kind: str, key: str) -> DataFrame:
+    def violations(self, kind: str, key: str, check: Callable[[Column], Column] | None = None) -> DataFrame:
         """Values in the store that a rule would refuse; rules look at new values only."""
         own = self._own("props").where(F.col("key") == key)
+        if kind == "check":
+            return own.where(~F.coalesce(check(F.struct(*VALUE)), F.lit(False))).select("name")
         if kind == "unique":
             return own.where(F.col("vtype") != "null").groupBy("v_text").agg(F.count("*").alias("rows")).where("rows > 1")
         return own.where(F.col("vtype") == "null").select("name")
@@ -162,22 +266,24 @@ class Store:
         data = [(name, key, *typed(value)) for name, key, value in rows]
         return self.spark.createDataFrame(data, "name string, key string, vtype string, v_text string, v_num double, v_bool boolean, v_json string")
 
-    def _write(self, new: DataFrame, status: str | None = "ARCHIVE") -> int:
-        """Set properties; what they replace goes to history."""
+    def _write(self, new: DataFrame, order: list[str] = ()) -> int:
+        """Set properties (name, key and value columns); what they replace is history. Of several values for one key
+        in one statement the last by `order` holds."""
         new = materialise(self._checked(new), "new")
         now = int(time.time() * 1000)
-        fresh = new.select(F.lit(self.ns).alias("ns"), "name", "key", *VALUE, F.expr("uuid()").alias("atom_id"), F.lit(now).alias("ts"), F.lit(T_INIT).alias("T"))
-        keys = new.select(F.lit(self.ns).alias("ns"), "name", "key")
-        old = self.tables["props"].join(keys, ["ns", "name", "key"], "left_semi")
         self._seq += 1
-        archived = old.select("ns", "name", "key", F.lit(status).alias("status"), "v_text", "ts", F.lit(self._seq).alias("seq"))
-        rest = self.tables["props"].join(keys, ["ns", "name", "key"], "left_anti")
-        if status:
-            self._put(history=self.tables["history"].unionByName(archived), props=rest.unionByName(fresh))
-        else:
-            self._put(props=rest.unionByName(fresh))
+        sub = F.row_number().over(Window.partitionBy("name", "key").orderBy(*order)) if order else F.lit(0)
+        self._append("props", new.select(F.lit(self.ns).alias("ns"), "name", "key", *VALUE, F.expr("uuid()").alias("atom_id"), F.lit(now).alias("ts"), F.lit(T_INIT).alias("T"), F.lit(self._seq).cast("long").alias("seq"), sub.cast("long").alias("sub"), F.lit("set").alias("op")))
         return new.count()
 
+    def _end(self, table: str, rows: DataFrame) -> None:
+        """Append ends of what `rows` names."""
+        self._seq += 1
+        marks = {"seq": F.lit(self._seq).cast("long"), "op": F.lit("gone")} | ({"sub": F.lit(0).cast("long")} if table == "props" else {})
+        have = set(rows.columns)
+        missing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in LOGS[table].split(", ") if c.split()[0] not in have | {"bucket"}}
+        self._append(table, rows.withColumns(missing | marks))
+
     def create(self, *names: str) -> None:
         self.create_all(self.spark.createDataFrame([(n,) for n in names], "name string"))
 
@@ -185,23 +291,43 @@ class Store:
         clash = names.join(self._own("bubbles").select("name"), "name", "left_semi")
         if not clash.isEmpty() or not names.groupBy("name").count().where("count > 1").isEmpty():
             raise StoreError("an entity of that name exists")
-        self._put(bubbles=self.tables["bubbles"].unionByName(names.select(F.lit(self.ns).alias("ns"), "name")))
+        self._seq += 1
+        self._append("bubbles", names.select(F.lit(self.ns).alias("ns"), "name", F.lit(self._seq).cast("long").alias("seq"), F.lit("set").alias("op")))
 
     def insert(self, name: str, **properties) -> None:
         self._known(name)
         self._write(self._values([(name, k, v) for k, v in properties.items()]))
 
     def insert_rows(self, rows: DataFrame) -> int:
-        """The first column names new entities (null ones are passed over), the others are properties; nulls are none."""
+        """The first column names new entities (null ones and words for null are passed over), the others are properties;
+        nulls are none."""
         first, *others = rows.columns
-        rows = materialise(rows.where(F.col(first).isNotNull()), "rows")
+        named = F.col(first).isNotNull() & ~F.upper(F.trim(F.col(first).cast("string"))).isin(*NULLS)
+        rows = materialise(rows.where(named), "rows")
         self.create_all(rows.select(F.col(first).cast("string").alias("name")))
         if others:
             self._write(self._unpivot(rows, first, others))
         return rows.count()
 
+    def set_rows(self, rows: DataFrame, order: list[str] = ()) -> int:
+        """Properties of entities that the first column names; names that are not known are created. Rows that repeat a
+        name are versions, in the order of the columns `order`, which are no properties."""
+        first, *others = rows.columns
+        rows = materialise(rows, "rows")
+        names = rows.select(F.col(first).cast("string").alias("name")).distinct()
+        self.create_all(names.join(self._own("bubbles").select("name"), "name", "left_anti"))
+        return self._write(self._unpivot(rows, first, [c for c in others if c not in order], list(order)), list(order))
+
+    def merge_rows(self, rows: DataFrame, on: str) -> int:
+        """Rows that share their value of `on` with entities here set the properties of the first of those, by name;
+        others create an entity under their first column's name."""
+        name = rows.columns[0]
+        known = self._own("props").where((F.col("key") == on) & (F.col("vtype") != "null")).groupBy(F.col("v_text").alias("_k")).agg(F.min("name").alias("_name"))
+        joined = rows.join(known, rows[on].cast("string") == known["_k"], "left")
+        return self.set_rows(joined.select(F.coalesce("_name", F.col(name).cast("string")).alias("_entity"), *[c for c in rows.columns if c != name]))
+
     @staticmethod
-    def _unpivot(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    def _unpivot(rows: DataFrame, name: str, columns: list[str], others: list[str] = ()) -> DataFrame:
         kinds = dict(rows.dtypes)
 
         def value(c: str) -> Column:
@@ -217,20 +343,21 @@ class Store:
             return F.struct(F.lit("json").alias("vtype"), text.alias("v_text"), F.lit(None).cast("double").alias("v_num"), F.lit(None).cast("boolean").alias("v_bool"), text.alias("v_json"))
 
         each = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).isNull().alias("none"), value(c).alias("v")) for c in columns])).alias("p")
-        return rows.select(F.col(name).cast("string").alias("name"), each).where(~F.col("p.none") & (F.col("p.v.vtype") != "null")).select("name", "p.key", *[F.col(f"p.v.{c}").alias(c) for c in VALUE])
+        return rows.select(F.col(name).cast("string").alias("name"), *others, each).where(~F.col("p.none") & (F.col("p.v.vtype") != "null")).select("name", *others, "p.key", *[F.col(f"p.v.{c}").alias(c) for c in VALUE])
 
     def update(self, where: DataFrame | str, key: str, value) -> int:
         """Set a property of one entity or of a table of names. "+n" and "-n" add to a number that is there."""
-        if isinstance(where, str):
-            self._known(where)
-            where = self.spark.createDataFrame([(where,)], "name string")
+        one = where if isinstance(where, str) else None
+        if one is not None:
+            self._known(one)
+            where = self.spark.createDataFrame([(one,)], "name string")
         names = where.select(F.col(where.columns[0]).alias("name")).distinct()
         vtype, text, num, truth, js = typed(value)
         literals = {"vtype": F.lit(vtype), "v_text": F.lit(text), "v_num": F.lit(num).cast("double"), "v_bool": F.lit(truth).cast("boolean"), "v_json": F.lit(js).cast("string")}
         step = None
         if isinstance(value, str) and value[:1] in "+-" and value[1:].replace(".", "", 1).isdigit():
             step = float(value)
-        old = self._own("props").where(F.col("key") == key).select("name", *[F.col(c).alias(f"_{c}") for c in VALUE])
+        old = self._own("props", one).where(F.col("key") == key).select("name", *[F.col(c).alias(f"_{c}") for c in VALUE])
         both = names.join(old, "name", "left")
         if step is None:
             new = both.select("name", F.lit(key).alias("key"), *[literals[c].alias(c) for c in VALUE])
@@ -243,76 +370,92 @@ class Store:
         return self._write(new)
 
     def merge(self, name: str, **properties) -> str:
-        created = self._own("bubbles").where(F.col("name") == name).isEmpty()
+        created = not self._has(name)
         if created:
             self.create(name)
         self.insert(name, **properties)
         return "created" if created else "updated"
 
     def merge_on(self, key: str, value, **properties) -> str:
-        """Update the first entity, by name, that has the value; else create one named after it."""
+        """Update the first entity, by name, that has the value; else create one named after it, with the first number
+        that is free."""
         text = typed(value)[1]
         found = self._own("props").where((F.col("key") == key) & (F.col("v_text") == text)).agg(F.min("name").alias("name")).first()["name"]
         if found:
             self.insert(found, **properties)
             return found
-        name, taken, n = text, {r.name for r in self._own("bubbles").where(F.col("name").rlike(rf"^\Q{text}\E(_\d+)?$")).collect()}, 1
-        while name in taken:
-            n += 1
-            name = f"{text}_{n}"
+        number = F.when(F.col("name") == text, 1).otherwise(F.regexp_extract("name", rf"^\Q{text}\E_(\d+)$", 1).try_cast("int"))
+        used = self._own("bubbles").select(F.lit(text).alias("stem"), number.alias("n")).where("n IS NOT NULL")
+        n = first_free(self.spark.createDataFrame([(text,)], "stem string"), used).first()["n"]
+        name = text if n == 1 else f"{text}_{n}"
         self.create(name)
         self.insert(name, **{key: value, **properties})
         return name
 
     def clone(self, names: DataFrame, suffix: str = "_kopia") -> DataFrame:
-        """Copies of entities with their properties and outgoing relations, under names with a suffix that is free."""
+        """Copies of entities with their properties and outgoing relations, under names with a suffix and, from the second
+        copy on, the first number that is free."""
         names = names.select(F.col(names.columns[0]).alias("name")).distinct()
         own = self._own("bubbles").select(F.col("name").alias("taken"))
         stem = F.regexp_extract("taken", rf"^(.*){suffix}(_(\d+))?$", 1)
         number = F.when(F.col("taken").endswith(suffix), 1).otherwise(F.regexp_extract("taken", rf"{suffix}_(\d+)$", 1).try_cast("int"))
-        used = own.select(stem.alias("name"), number.alias("n")).where("name <> '' AND n IS NOT NULL").groupBy("name").agg(F.max("n").alias("n"))
-        new = names.join(used, "name", "left").select("name", F.concat("name", F.lit(suffix), F.when(F.col("n") >= 1, F.concat(F.lit("_"), (F.col("n") + 1).cast("string"))).otherwise("")).alias("copy"))
+        used = own.select(stem.alias("stem"), number.alias("n")).where("stem <> '' AND n IS NOT NULL")
+        free = first_free(names.select(F.col("name").alias("stem")), used)
+        new = free.select(F.col("stem").alias("name"), F.concat("stem", F.lit(suffix), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("copy"))
         new = materialise(new, "copies")
         props = self._own("props").join(new, "name").select(F.col("copy").alias("name"), "key", *VALUE)
-        rels = self._own("rels").join(new, F.col("source") == F.col("name")).select("ns", F.col("copy").alias("source"), "relation", "target")
+        rels = materialise(self._own("rels").join(new, F.col("source") == F.col("name")).select(F.col("copy").alias("source"), "relation", "target"), "relations")
         self.create_all(new.select(F.col("copy").alias("name")))
         self._write(props)
-        self._put(rels=self.tables["rels"].unionByName(rels))
+        self.connect_all(rels)
         return new.select(F.col("copy").alias("name"))
 
     def remove(self, name: str, key: str) -> None:
+        """The value goes to history."""
         self._known(name)
-        old = self._own("props").where((F.col("name") == name) & (F.col("key") == key))
         self._seq += 1
-        gone = old.select("ns", "name", "key", F.lit("DELETED").alias("status"), "v_text", "ts", F.lit(self._seq).alias("seq"))
-        keys = old.select("ns", "name", "key")
-        self._put(history=self.tables["history"].unionByName(gone), props=self.tables["props"].join(keys, ["ns", "name", "key"], "left_anti"))
+        now = self._own("props", name).where(F.col("key") == key)
+        self._append("props", now.withColumns({"seq": F.lit(self._seq).cast("long"), "sub": F.lit(0).cast("long"), "op": F.lit("remove")}))
 
     def delete(self, where: DataFrame | str) -> int:
         """Entities with their properties, their history and the relations from and to them."""
         if isinstance(where, str):
             self._known(where)
             where = self.spark.createDataFrame([(where,)], "name string")
-        names = materialise(where.select(F.lit(self.ns).alias("ns"), F.col(where.columns[0]).alias("name")).distinct(), "gone")
-        n = names.join(self.tables["bubbles"], ["ns", "name"], "left_semi").count()
-        rels = self.tables["rels"].join(names.withColumnRenamed("name", "source"), ["ns", "source"], "left_anti").join(names.withColumnRenamed("name", "target"), ["ns", "target"], "left_anti")
-        self._put(rels=rels, **{k: self.tables[k].join(names, ["ns", "name"], "left_anti") for k in ("bubbles", "props", "history")})
-        return n
+        names = where.select(F.lit(self.ns).alias("ns"), F.col(where.columns[0]).alias("name")).distinct()
+        names = materialise(names.join(self.table("bubbles"), ["ns", "name"], "left_semi"), "gone")
+        source, target = names.withColumnRenamed("name", "source"), names.withColumnRenamed("name", "target")
+        rels = self.table("rels")
+        self._end("rels", rels.join(source, ["ns", "source"], "left_semi").unionByName(rels.join(target, ["ns", "target"], "left_semi")).distinct())
+        self._end("bubbles", names)
+        return names.count()
 
     def rename(self, old: str, new: str) -> None:
         self._known(old)
-        if not self._own("bubbles").where(F.col("name") == new).isEmpty():
+        if self._has(new):
             raise StoreError(f"{new} exists")
-        own = F.col("ns") == self.ns
-        change = lambda c: F.when(own & (F.col(c) == old), new).otherwise(F.col(c))
-        self._put(rels=self.tables["rels"].withColumns({"source": change("source"), "target": change("target")}), **{k: self.tables[k].withColumn("name", change("name")) for k in ("bubbles", "props", "history")})
+        change = lambda c: F.when(F.col(c) == old, new).otherwise(F.col(c)).alias(c)
+        rels = materialise(self._own("rels").where((F.col("source") == old) | (F.col("target") == old)), "relations")
+        rows = materialise(self._living(old).where(F.col("ns") == self.ns), "rows")
+        self._end("rels", rels)
+        self._end("bubbles", self.spark.createDataFrame([(self.ns, old)], "ns string, name string"))
+        self.create(new)
+        self.connect_all(rels.select(change("source"), "relation", change("target")))
+        self._again(rows.withColumn("name", F.lit(new)))
 
     def rename_property(self, name: str, old: str, new: str) -> None:
         self._known(name)
-        if not self._own("props").where((F.col("name") == name) & (F.col("key") == new)).isEmpty():
+        if not self._own("props", name).where(F.col("key") == new).isEmpty():
             raise StoreError(f"{new} exists")
-        mine = (F.col("ns") == self.ns) & (F.col("name") == name) & (F.col("key") == old)
-        self._put(**{k: self.tables[k].withColumn("key", F.when(mine, new).otherwise(F.col("key"))) for k in ("props", "history")})
+        rows = materialise(self._living(name).where((F.col("ns") == self.ns) & (F.col("key") == old)), "rows")
+        self._end("props", self.spark.createDataFrame([(self.ns, name, old)], "ns string, name string, key string"))
+        self._again(rows.withColumn("key", F.lit(new)))
+
+    def _again(self, rows: DataFrame) -> None:
+        """Append rows of props once more, in their order."""
+        self._seq += 1
+        order = F.row_number().over(Window.partitionBy("ns", "name", "key").orderBy("seq", "sub"))
+        self._append("props", rows.withColumn("sub", order.cast("long")).withColumn("seq", F.lit(self._seq).cast("long")))
 
     def connect(self, source: str, target: str, relation: str) -> None:
         self._known(source)
@@ -320,22 +463,25 @@ class Store:
         self.connect_all(self.spark.createDataFrame([(source, relation, target)], "source string, relation string, target string"))
 
     def connect_all(self, edges: DataFrame) -> None:
-        new = edges.select(F.lit(self.ns).alias("ns"), "source", "relation", "target")
-        self._put(rels=self.tables["rels"].unionByName(new).distinct())
+        self._seq += 1
+        self._append("rels", edges.select(F.lit(self.ns).alias("ns"), "source", "relation", "target", F.lit(self._seq).cast("long").alias("seq"), F.lit("set").alias("op")))
 
     def disconnect(self, source: str, target: str, relation: str) -> None:
-        gone = self.spark.createDataFrame([(self.ns, source, relation, target)], SCHEMAS["rels"])
-        self._put(rels=self.tables["rels"].join(gone, ["ns", "source", "relation", "target"], "left_anti"))
+        self._end("rels", self.spark.createDataFrame([(self.ns, source, relation, target)], SCHEMAS["rels"]))
 
     def excite(self, gains: DataFrame) -> None:
         """Add energy (name, energy) to the temperature of every atom of an entity."""
-        joined = self.tables["props"].join(gains.withColumn("ns", F.lit(self.ns)), ["ns", "name"], "left")
-        self._put(props=joined.withColumn("T", clamped(F.col("T") + F.coalesce("energy", F.lit(0.0)))))
+        self._seq += 1
+        joined = self._own("props").join(gains, "name").withColumn("T", clamped(F.col("T") + F.coalesce("energy", F.lit(0.0))))
+        self._append("props", joined.withColumns({"seq": F.lit(self._seq).cast("long"), "sub": F.lit(0).cast("long"), "op": F.lit("heat")}))
 
     # --- reading ---
 
+    def _has(self, name: str) -> bool:
+        return not self._own("bubbles", name).isEmpty()
+
     def _known(self, name: str) -> None:
-        if self._own("bubbles").where(F.col("name") == name).isEmpty():
+        if not self._has(name):
             raise StoreError(f"no entity {name}")
 
     def names(self) -> DataFrame:
@@ -353,39 +499,70 @@ class Store:
         heat = props.groupBy("name").agg(F.max("T").alias("TEMPERATURA"))
         return self.names().join(by_name, "name", "left").join(heat, "name", "left")
 
+    def shown(self, name: str) -> DataFrame:
+        """kind (property or relation), item and value of one entity. Looking heats its atoms."""
+        self._known(name)
+        props = self._own("props", name).select(F.lit("property").alias("kind"), F.col("key").alias("item"), F.col("v_text").alias("value"))
+        out = props.unionByName(self._own("rels", name).select(F.lit("relation").alias("kind"), F.col("relation").alias("item"), F.col("target").alias("value")))
+        self.excite(self.spark.createDataFrame([(name, HEAT_READ)], "name string, energy double"))
+        return out
+
     def show(self, name: str) -> dict:
+        rows = self.shown(name).orderBy("item", "value").collect()  # those of one entity
+        return {"name": name, "properties": {r["item"]: r["value"] for r in rows if r["kind"] == "property"}, "relations": [(r["item"], r["value"]) for r in rows if r["kind"] == "relation"]}
+
+    def project(self, name: str, **keys: str) -> DataFrame:
+        """`wide` of one entity."""
         self._known(name)
-        props = {r.key: r.v_text for r in self._own("props").where(F.col("name") == name).collect()}
-        rels = [(r.relation, r.target) for r in self._own("rels").where(F.col("source") == name).orderBy("relation", "target").collect()]
-        return {"name": name, "properties": props, "relations": rels}
+        return self.wide(**keys).where(F.col("name") == name)
+
+    def hot(self, least: float = T_HOT) -> DataFrame:
+        """Atoms at least so hot, hottest first."""
+        return self._own("props").where(F.col("T") >= least).select("name", "key", "atom_id", "v_text", "T").orderBy(F.col("T").desc(), "name", "key")
 
     def history(self, name: str, key: str) -> DataFrame:
         """Old values and the current one, oldest first."""
-        mine = (F.col("name") == name) & (F.col("key") == key)
-        now = self._own("props").where(mine).select(F.lit("CURRENT").alias("status"), "v_text", "ts", F.lit(1 << 60).alias("seq"))
-        return self._own("history").where(mine).select("status", "v_text", "ts", "seq").unionByName(now).orderBy("seq").select("status", "v_text", "ts")
+        return self.versions(key, name).orderBy("seq").select("status", "v_text", "ts")
+
+    def versions(self, key: str, name: str | None = None) -> DataFrame:
+        """name, status (ARCHIVE, DELETED or CURRENT), v_text, ts and seq of all values that a property had, of one entity
+        or of all."""
+        old = self._own("history", name).where(F.col("key") == key).select("name", "status", "v_text", "ts", "seq")
+        now = self._own("props", name).where(F.col("key") == key).select("name", F.lit("CURRENT").alias("status"), "v_text", "ts", F.lit(1 << 62).alias("seq"))
+        return old.unionByName(now)
+
+    @staticmethod
+    def _samples(rows: DataFrame, kind: str, item: Column, value: str) -> DataFrame:
+        """kind, item, rows and the three smallest different values: no group is gathered, each is ranked with a limit."""
+        rows = rows.select(item.alias("item"), F.col(value).alias("v"))
+        rank = F.row_number().over(Window.partitionBy("item").orderBy("v"))
+        few = rows.where("v IS NOT NULL").distinct().withColumn("_n", rank).where("_n <= 3").groupBy("item").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+        counted = rows.groupBy("item").agg(F.count("*").alias("rows"))
+        return counted.join(few, "item", "left").select(F.lit(kind).alias("kind"), "item", "rows", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
     def describe(self) -> DataFrame:
         """kind, item, rows and samples (three at most) of what the store holds."""
-        props = self._own("props").groupBy(F.lit("property").alias("kind"), F.col("key").alias("item")).agg(F.count("*").alias("rows"), F.slice(F.array_sort(F.collect_set("v_text")), 1, 3).alias("samples"))
-        rels = self._own("rels").groupBy(F.lit("relation").alias("kind"), F.col("relation").alias("item")).agg(F.count("*").alias("rows"), F.slice(F.array_sort(F.collect_set("target")), 1, 3).alias("samples"))
-        names = self.tables["bubbles"].groupBy(F.lit("namespace").alias("kind"), F.col("ns").alias("item")).agg(F.count("*").alias("rows"), F.slice(F.array_sort(F.collect_set("name")), 1, 3).alias("samples"))
+        props = self._samples(self._own("props"), "property", F.col("key"), "v_text")
+        rels = self._samples(self._own("rels"), "relation", F.col("relation"), "target")
+        names = self._samples(self.table("bubbles"), "namespace", F.col("ns"), "name")
         other = [("view", v) for v in self.views] + [("index", i) for i in self.indexes] + [(kind, key) for kind, key, _ in self.rules]
         rest = self.spark.createDataFrame([(k, i, None, []) for k, i in other], "kind string, item string, rows long, samples array<string>")
         return reduce(DataFrame.unionByName, [names, props, rels, rest])
 
     def explain(self, key: str, op: str, value) -> dict:
-        """How a condition would be answered, and about how many entities it would give."""
+        """What kind of condition it is, about how many entities it would give, and Spark's own plan of it."""
         props = self._own("props").where(F.col("key") == key)
-        if op == "=":
-            return {"node": "index_lookup", "key": key, "pinned": key in self.indexes, "rows": props.where(F.col("v_text") == typed(value)[1]).count()}
-        return {"node": "full_scan", "key": key, "op": op, "rows": self.names().count()}
+        found = props.where(F.col("v_text") == typed(value)[1]) if op == "=" else self.names()
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            found.explain()
+        node = {"node": "index_lookup", "key": key, "pinned": key in self.indexes} if op == "=" else {"node": "full_scan", "key": key, "op": op}
+        return node | {"rows": found.count(), "plan": plan.getvalue()}
 
     def collect_orphans(self) -> int:
         """Drop properties of entities that are gone; returns how many."""
-        n = self.tables["props"].count()
-        self._put(props=self.tables["props"].join(self.tables["bubbles"], ["ns", "name"], "left_semi"))
-        return n - self.tables["props"].count()
+        gone = materialise(self.table("props").join(self.table("bubbles"), ["ns", "name"], "left_anti").select("ns", "name", "key"), "orphans")
+        self._end("props", gone)
+        return gone.count()
 
     def states(self) -> DataFrame:
         return self._own("props").groupBy(state(F.col("T")).alias("state")).agg(F.count("*").alias("atoms"))

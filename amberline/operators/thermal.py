@@ -64,8 +64,8 @@ def stats(atoms: DataFrame) -> DataFrame:
 # --- frames: (tick, atom_id, T, ...) -------------------------------------------------------------------------------
 
 
-def as_of(frames: DataFrame, at: int) -> DataFrame:
-    """Each atom's row at the latest tick up to `at` at which it was recorded."""
+def as_of(frames: DataFrame, at: int | Column) -> DataFrame:
+    """Each atom's row at the latest tick up to `at` (a number or a column) at which it was recorded."""
     rest = [c for c in frames.columns if c != "atom_id"]
     last = frames.where(F.col("tick") <= at).groupBy("atom_id").agg(F.max_by(F.struct(*rest), "tick").alias("r"))
     return last.select("atom_id", *[F.col(f"r.{c}").alias(c) for c in rest])

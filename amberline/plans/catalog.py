@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from amberline.functions import predicates as P
 from amberline.functions import scalars as X
 from amberline.operators import graph, merge, relational, search, thermal
+from amberline.operators.store import Store
 from amberline.streaming import streams
-from amberline.tables import table
+from amberline.tables import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +42,13 @@ def col(name: str):
     return F.col(name)
 
 
+def _stored(spark: SparkSession, rows: DataFrame) -> Store:
+    """A store of entities that the first column names, with the other columns as properties."""
+    store = Store(spark)
+    store.insert_rows(rows)
+    return store
+
+
 # --- filters -------------------------------------------------------------------------------------------------------
 
 
@@ -519,9 +527,9 @@ def state_histogram(s, d):
 
 @query(f"WITH {FRAMES}, m AS (SELECT min(tick) + 15 AS x FROM frames) SELECT atom_id, tick, round(T, 6) AS T FROM frames, m WHERE tick <= x QUALIFY row_number() OVER (PARTITION BY atom_id ORDER BY tick DESC) = 1")
 def as_of_tick(s, d):
-    frames = _frames(s, d)
-    at = frames.agg(F.min("tick")).first()[0] + 15
-    return thermal.as_of(frames, at).select("atom_id", "tick", F.round("T", 6).alias("T"))
+    # From the events themselves, so that the frames are built once.
+    first = F.broadcast(table(s, d, "events").agg((F.datediff(F.min(col("ts").cast("date")), F.lit("1970-01-01").cast("date")) + 15).alias("at")))
+    return thermal.as_of(_frames(s, d).join(first, F.lit(True)), col("at")).select("atom_id", "tick", F.round("T", 6).alias("T"))
 
 
 @query(f"WITH {FRAMES} SELECT tick, round(T, 6) AS T FROM frames WHERE atom_id = 7")
@@ -539,11 +547,14 @@ def delta_frames(s, d):
     return thermal.deltas(_frames(s, d)).select("tick", "atom_id", "key", F.round("dT", 6).alias("dT"))
 
 
-@query()
+@query(f"WITH {FRAMES}, t AS (SELECT DISTINCT tick FROM frames) SELECT tick, lag(tick) OVER w IS NULL AS first, tick % 7 = 0 OR coalesce(lag(tick) OVER w % 7 = 0, false) AS broken FROM t WINDOW w AS (ORDER BY tick)")
 def chain_verify(s, d):
+    """A chain that was written, held against frames of which every seventh tick was changed since."""
     frames = _frames(s, d)
-    chain = thermal.chained(frames)
-    return chain.select("tick", F.col("previous").isNull().alias("first")).join(thermal.broken_links(chain, frames).withColumn("broken", F.lit(True)), "tick", "left")
+    chain = materialise(thermal.chained(frames), "chain")
+    changed = frames.withColumn("T", F.when(col("tick") % 7 == 0, col("T") + 1).otherwise(col("T")))
+    broken = thermal.broken_links(chain, changed).withColumn("_broken", F.lit(True))
+    return chain.join(broken, "tick", "left").select("tick", col("previous").isNull().alias("first"), col("_broken").isNotNull().alias("broken"))
 
 
 @query(f"SELECT event_id FROM events WHERE {HEAT} * power(0.92, 20) >= 2 OR user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
@@ -576,11 +587,9 @@ def token_jaccard(s, d):
 
 @query(f"WITH q AS (SELECT {SQL_TOKENS.format('text')} AS t FROM benchmark WHERE item_id = 1), p AS (SELECT doc_id, {SQL_TOKENS.format('text')} AS t FROM documents), r AS (SELECT doc_id, len(list_intersect(p.t, q.t)) / len(list_distinct(list_concat(p.t, q.t))) AS v FROM p, q) SELECT doc_id, round(0.3 * v * v / 0.09, 9) AS R FROM r ORDER BY R DESC, doc_id LIMIT 16")
 def lorentz_topk(s, d):
-    r = F.round(search.lorentz(col("j0")), 9)
-    probe = F.broadcast(table(s, d, "benchmark").where("item_id = 1").select(search.tokens(col("text")).alias("q")))
-    docs = table(s, d, "documents").select("doc_id", search.tokens(col("text")).alias("t"))
-    scored = docs.join(probe, F.lit(True)).select("doc_id", search.jaccard(col("t"), col("q")).alias("j0")).select("doc_id", r.alias("R"))
-    return scored.orderBy(col("R").desc(), "doc_id").limit(search.TOP)
+    probe = F.broadcast(table(s, d, "benchmark").where("item_id = 1").select(col("text").alias("q")))
+    docs = table(s, d, "documents").select("doc_id", "text", F.lit(thermal.T_INIT).alias("T")).join(probe, F.lit(True))
+    return search.resonating(docs, col("q"), r_min=0.0, limit=search.TOP, text_col="text", name_col="doc_id").select("doc_id", "R")
 
 
 @query("""WITH g AS (SELECT p_partkey, p_name, lower(p_name) AS s FROM part), q AS (SELECT s FROM g WHERE p_partkey = 1),
@@ -633,9 +642,9 @@ def hrr_bind_unbind(s, d):
     from amberline.packaging import ship
 
     ship(s)
-    v = table(s, d, "nation").select("n_name", vectors.vector_of(col("n_name")).alias("a"), vectors.vector_of(F.lit("role")).alias("b"))
-    back = v.select("n_name", "a", vectors.unbind(vectors.bind(col("a"), col("b")), col("b")).alias("back"))
-    return back.select("n_name", F.round(search.cosine(col("a"), col("back")), 6).alias("sim"))
+    v = table(s, d, "part").select("p_partkey", vectors.vector_of(col("p_name")).alias("a"), vectors.vector_of(F.lit("role")).alias("b"))
+    back = v.select("p_partkey", "a", vectors.unbind(vectors.bind(col("a"), col("b")), col("b")).alias("back"))
+    return back.select("p_partkey", F.round(search.cosine(col("a"), col("back")), 6).alias("sim"))
 
 
 @query("SELECT c_name AS name, round(CAST(0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) AS DOUBLE), 6) AS R FROM customer WHERE 0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) >= 0.15")
@@ -656,13 +665,18 @@ def upsert_by_key(s, d):
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal + 5 ELSE c_acctbal END AS c_acctbal FROM customer")
 def update_where_increment(s, d):
-    hit = P.eq(col("c_mktsegment"), F.lit("BUILDING"))
-    return table(s, d, "customer").select("c_custkey", F.when(hit, col("c_acctbal") + 5).otherwise(col("c_acctbal")).alias("c_acctbal"))
+    store = _stored(s, table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"))
+    hit = store.wide(c_mktsegment="text").where(P.eq(col("c_mktsegment"), F.lit("BUILDING"))).select("name")
+    store.update(hit, "c_acctbal", "+5")
+    return store.wide(c_acctbal="num").select(col("name").cast("bigint").alias("c_custkey"), "c_acctbal")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT coalesce(o_orderstatus = 'F' AND o_totalprice < 100000, false)")
 def delete_where(s, d):
-    return table(s, d, "orders").where(P.negate(P.eq(col("o_orderstatus"), F.lit("F")) & P.lt(col("o_totalprice"), 100000))).select("o_orderkey")
+    store = _stored(s, table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    bad = P.eq(col("o_orderstatus"), F.lit("F")) & P.lt(col("o_totalprice"), 100000)
+    store.delete(store.wide(o_orderstatus="text", o_totalprice="num").where(bad).select("name"))
+    return store.names().select(col("name").cast("bigint").alias("o_orderkey"))
 
 
 @query("SELECT CASE WHEN l.id IS NULL OR r.t > l.t + 0.001 THEN 'remote' ELSE 'local' END AS origin, coalesce(l.id, r.id) AS atom_id, CASE WHEN l.id IS NULL OR r.t > l.t + 0.001 THEN r.t ELSE l.t END AS T FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey % 97 AS DOUBLE) AS t FROM customer) l FULL JOIN (SELECT CAST(c_custkey + 50 AS VARCHAR) AS id, CAST(c_custkey % 89 AS DOUBLE) + 0.5 AS t FROM customer) r ON l.id = r.id")
@@ -675,25 +689,28 @@ def temperature_wins_merge(s, d):
 
 @query("SELECT c_mktsegment AS v_text, count(*) AS rows FROM customer GROUP BY 1 HAVING count(*) > 1")
 def unique_violations(s, d):
-    return table(s, d, "customer").groupBy(col("c_mktsegment").alias("v_text")).agg(F.count("*").alias("rows")).where("rows > 1")
+    return _stored(s, table(s, d, "customer").select("c_custkey", "c_mktsegment")).violations("unique", "c_mktsegment")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT coalesce(c_acctbal >= 0, false)")
 def check_violations(s, d):
-    return table(s, d, "customer").where(P.negate(P.ge(col("c_acctbal"), 0))).select("c_custkey")
+    store = _stored(s, table(s, d, "customer").select("c_custkey", "c_acctbal"))
+    return store.violations("check", "c_acctbal", lambda v: v["v_num"] >= 0).select(col("name").cast("bigint").alias("c_custkey"))
 
 
 @query("SELECT o_custkey AS name, o_orderkey AS seq, o_orderstatus AS v, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 THEN 'CURRENT' ELSE 'ARCHIVE' END AS status FROM orders")
 def history_versions(s, d):
-    w = Window.partitionBy("o_custkey").orderBy(col("o_orderdate").desc(), col("o_orderkey").desc())
-    return table(s, d, "orders").select(col("o_custkey").alias("name"), col("o_orderkey").alias("seq"), col("o_orderstatus").alias("v"), F.when(F.row_number().over(w) == 1, "CURRENT").otherwise("ARCHIVE").alias("status"))
+    store = Store(s)
+    orders = table(s, d, "orders").select("o_custkey", F.concat_ws(":", "o_orderkey", "o_orderstatus").alias("order"), "o_orderdate", "o_orderkey")
+    store.set_rows(orders, order=["o_orderdate", "o_orderkey"])
+    parts = F.split("v_text", ":")
+    return store.versions("order").select(col("name").cast("bigint").alias("name"), parts[0].cast("bigint").alias("seq"), parts[1].alias("v"), "status")
 
 
 @query("SELECT key, count(*) AS rows, min(v) AS sample FROM (SELECT 'c_mktsegment' AS key, c_mktsegment AS v FROM customer UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT 'c_name', c_name FROM customer) GROUP BY key")
 def describe_catalog(s, d):
-    c = table(s, d, "customer")
-    long = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), col(k).cast("string").alias("v")) for k in ("c_mktsegment", "c_nationkey", "c_name")])).alias("p")).select("p.key", "p.v")
-    return long.where(col("v").isNotNull()).groupBy("key").agg(F.count("*").alias("rows"), F.min("v").alias("sample"))
+    described = _stored(s, table(s, d, "customer").select(col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey", "c_name")).describe()
+    return described.where(P.eq(col("kind"), F.lit("property"))).select(col("item").alias("key"), "rows", col("samples")[0].alias("sample"))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
@@ -725,12 +742,10 @@ def session_30m(s, d):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) > 2 AS limited FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)")
 def sliding_rate_limit(s, d):
-    e = table(s, d, "events").withColumn("sec", F.unix_timestamp(F.date_trunc("second", col("ts").cast("timestamp"))))
-    w = Window.partitionBy("user_id").orderBy("sec").rangeBetween(-3600, 0)
-    return e.select("event_id", (F.count("*").over(w) > 2).alias("limited"))
+    return streams.over_limit(table(s, d, "events"), "user_id", "ts", 2, 3600).select("event_id", "limited")
 
 
-@query()
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def stream_tumbling_day(s, d):
     """The windows of a stream over the events' folder, closed by a watermark, as the sink has them at its end."""
     from amberline.tables import shared_dir
@@ -740,4 +755,85 @@ def stream_tumbling_day(s, d):
     out = streams.tumbling(stream, "ts", "1 day", ["event_type"], {"n": F.count("*")}, "10 minutes")
     path = shared_dir(s, "stream")
     streams.journal(out, f"{path}/out", f"{path}/state").awaitTermination()
-    return s.read.parquet(f"{path}/out").select("start", "event_type", "n")
+    return s.read.parquet(f"{path}/out").select(col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# --- dynamic values, frames, and statements of the store --------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS VARCHAR) END IS NOT DISTINCT FROM CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(o_custkey % 10 AS VARCHAR) END")
+def canonical_equality(s, d):
+    """Text against numbers."""
+    text = F.when(col("o_orderkey") % 11 != 0, (col("o_orderkey") % 10).cast("string"))
+    number = F.when(col("o_custkey") % 11 != 0, (col("o_custkey") % 10).cast("double"))
+    return table(s, d, "orders").where(P.same_text(text, number, ("string", "double"))).select("o_orderkey")
+
+
+DYNAMIC = "v AS (SELECT o_orderkey, o_orderpriority, o_orderkey % 4 AS k, o_totalprice, o_orderstatus = 'F' AS b, o_orderstatus FROM orders), r AS (SELECT o_orderkey, o_orderpriority, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS kind, CASE WHEN k = 1 THEN o_totalprice END AS num, CASE WHEN k = 2 THEN b END AS truth, CASE WHEN k = 3 THEN o_orderstatus END AS txt FROM v)"
+
+
+def _dynamic(s, d):
+    """Literals of all kinds: nothing, numbers, truth values, text."""
+    k = col("o_orderkey") % 4
+    literal = F.when(k == 1, col("o_totalprice").cast("string")).when(k == 2, F.when(col("o_orderstatus") == "F", "PRAWDA").otherwise("FAŁSZ")).when(k == 3, col("o_orderstatus"))
+    return table(s, d, "orders").select("o_orderkey", "o_orderpriority", X.parsed(literal).alias("v"))
+
+
+@query(f"WITH {DYNAMIC} SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY kind, num, truth, txt, o_orderkey) AS n FROM r")
+def typed_row_number(s, d):
+    return _dynamic(s, d).select("o_orderkey", relational.ranked("row_number", ["o_orderpriority"], [*X.sort_keys(col("v")), col("o_orderkey")]).alias("n"))
+
+
+@query(f"WITH {DYNAMIC} SELECT o_orderkey FROM r ORDER BY kind DESC, num DESC, truth DESC, txt DESC, o_orderkey LIMIT 50")
+def typed_topk_desc(s, d):
+    return relational.ordered(_dynamic(s, d), ["v", "no such key"], descending=True, limit=50, name="o_orderkey").select("o_orderkey")
+
+
+@query("SELECT event_id, round(CASE WHEN i + 1 > n THEN value ELSE x END, 4) AS x FROM (SELECT event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, sum(value) OVER (w ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))")
+def rows_swapped_and_clamped(s, d):
+    x = relational.over_frame("sum", col("value"), ["user_id"], [col("event_id")], 3, 1)
+    return table(s, d, "events").select("event_id", F.round(x, 4).alias("x"))
+
+
+@query("WITH b AS (SELECT 'C' || c_custkey AS name, c_custkey AS k, c_acctbal AS bal FROM customer), c AS (SELECT 'N' || (o_custkey + 100) AS name, o_custkey + 100 AS k, round(sum(o_totalprice), 2) AS bal FROM orders GROUP BY o_custkey) SELECT coalesce(b.name, c.name) AS name, CAST(coalesce(b.k, c.k) AS DOUBLE) AS k, coalesce(c.bal, b.bal) AS bal FROM b FULL JOIN c ON b.k = c.k")
+def store_merge_by_key(s, d):
+    store = _stored(s, table(s, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("name"), col("c_custkey").alias("k"), col("c_acctbal").alias("bal")))
+    k = col("o_custkey") + 100
+    store.merge_rows(table(s, d, "orders").groupBy(k.alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("bal")).select(F.concat(F.lit("N"), "k").alias("name"), "k", "bal"), "k")
+    return store.wide(k="num", bal="num").select("name", "k", "bal")
+
+
+@query("SELECT 'P' || p_partkey AS name, p_type AS kind, CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) END AS size FROM part WHERE p_partkey % 5 <> 0")
+def store_insert_select(s, d):
+    """Rows named NIC are passed over; nulls are no properties."""
+    name = F.when(col("p_partkey") % 5 == 0, "NIC").otherwise(F.concat(F.lit("P"), "p_partkey"))
+    return _stored(s, table(s, d, "part").select(name.alias("name"), col("p_type").alias("kind"), F.when(col("p_size") > 25, col("p_size")).alias("size"))).wide(kind="text", size="num").select("name", "kind", "size")
+
+
+@query("WITH n AS (SELECT c_name AS name, c_acctbal AS bal FROM customer) SELECT name, bal FROM n UNION ALL SELECT name || x, bal FROM n, (VALUES ('_kopia'), ('_kopia_2')) t(x) WHERE bal > 5000 UNION ALL SELECT name || '_kopia_3', bal FROM n WHERE bal > 9000")
+def store_clone(s, d):
+    store = _stored(s, table(s, d, "customer").select("c_name", col("c_acctbal").alias("bal")))
+    original = col("name").rlike("^[^_]*$")
+    for least in (5000, 5000, 9000):
+        store.clone(store.wide(bal="num").where(original & P.gt(col("bal"), least)).select("name"))
+    return store.wide(bal="num").select("name", "bal")
+
+
+@query("SELECT CASE WHEN c_custkey % 3 = 0 THEN 'gone' WHEN c_custkey % 3 = 1 THEN 'set' ELSE 'kept' END AS fate, count(*) AS entities, count(CASE WHEN c_custkey % 3 <> 0 THEN 1 END) AS properties, count(CASE WHEN c_custkey % 3 = 1 THEN 1 END) AS old FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+def store_after_compaction(s, d):
+    """Deleted, changed and untouched entities, read from a compacted store."""
+    store = _stored(s, table(s, d, "customer").select("c_custkey", "c_mktsegment"))
+    rest = col("name").cast("bigint") % 3
+    store.update(store.names().where(rest == 1), "c_mktsegment", "NEW")
+    store.delete(store.names().where(rest == 0))
+    store.compact()
+    now = store.wide(c_mktsegment="text").select("name", F.when(rest == 1, "set").otherwise("kept").alias("fate"), "c_mktsegment")
+    old = store.versions("c_mktsegment").where(P.eq(col("status"), F.lit("ARCHIVE"))).select("name", F.lit(1).alias("o"))
+    return now.join(old, "name", "left").groupBy("fate").agg(F.count("*").alias("entities"), F.count("c_mktsegment").alias("properties"), F.count("o").alias("old"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {SQL_TOKENS.format('text')} AS t, CAST(doc_id % 100 AS DOUBLE) AS heat FROM documents), r AS (SELECT doc_id, heat * power(0.92, 20) AS T, 0.3 * power(len(list_intersect(t, ['the', 'of', 'and', 'in'])) / len(list_distinct(list_concat(t, ['the', 'of', 'and', 'in']))), 2) / 0.09 AS R FROM d) SELECT doc_id, T < 2 AS retained FROM r WHERE T >= 2 OR R >= 0.0001")
+def tick_with_resonance(s, d):
+    docs = table(s, d, "documents").select(col("doc_id").alias("atom_id"), (col("doc_id") % 100).cast("double").alias("T"), "text")
+    kept = search.retained_by_resonance(docs, "the of and in", least=0.0001, text_col="text")
+    return thermal.tick(docs.select("atom_id", "T"), 20, resonant=kept).select(col("atom_id").alias("doc_id"), "retained")

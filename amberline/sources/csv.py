@@ -33,12 +33,7 @@ def load(store: Store, path: str, name_column: str | None = None, upsert_on: str
     rows = rows.select(name, *[c for c in rows.columns if c != name])
     if upsert_on is None:
         return store.insert_rows(rows)
-    known = store.wide(**{upsert_on: "text"}).where(F.col(upsert_on).isNotNull()).groupBy(F.col(upsert_on).alias("_k")).agg(F.min("name").alias("_name"))
-    joined = rows.join(known, rows[upsert_on] == known["_k"], "left")
-    named = joined.select(F.coalesce("_name", F.col(name)).alias("_entity"), *[c for c in rows.columns if c != name])
-    new = named.select(F.col("_entity").alias("name")).join(store.names(), "name", "left_anti").distinct()
-    store.create_all(new)
-    return store._write(store._unpivot(named, "_entity", [c for c in named.columns if c != "_entity"]))
+    return store.merge_rows(rows, upsert_on)
 
 
 def save(df: DataFrame, path: str) -> None:

@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberline.operators.graph import regions, within
-from amberline.operators.store import SCHEMAS, Store
+from amberline.operators.store import SCHEMAS, Store, columns
 from amberline.operators.thermal import T_HOT
 
 
 def save(store: Store, path: str) -> None:
     """`path` gets one folder a table; properties by region (the component of their entity) and heat."""
     for name in ("bubbles", "rels", "history"):
-        store.tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+        store.table(name).write.mode("overwrite").parquet(f"{path}/{name}")
     own = store.names()
     region = regions(own, store.relations()).withColumn("ns", F.lit(store.ns))
-    props = store.tables["props"].join(region, ["ns", "name"], "left").withColumn("region", F.coalesce("region", "name")).withColumn("hot", F.col("T") >= T_HOT)
+    props = store.table("props").join(region, ["ns", "name"], "left").withColumn("region", F.coalesce("region", "name")).withColumn("hot", F.col("T") >= T_HOT)
     props.write.mode("overwrite").partitionBy("region", "hot").parquet(f"{path}/props")
 
 
 def load(spark: SparkSession, path: str) -> Store:
     store = Store(spark)
-    for name, schema in SCHEMAS.items():
-        store.tables[name] = spark.read.parquet(f"{path}/{name}").select(*[c.split()[0] for c in schema.split(", ")])
-    store.namespaces |= {r.ns for r in store.tables["bubbles"].select("ns").distinct().collect()}
+    store.load_tables({name: spark.read.parquet(f"{path}/{name}").select(*columns(schema)) for name, schema in SCHEMAS.items()})
     return store
 
 

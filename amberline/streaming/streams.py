@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,6 +64,14 @@ def rate_limited(df: DataFrame, key: str, ts: str, most: int, size: str = "60 se
     return sliding(df, ts, size, step, [key], {"n": F.count("*")}, late).where(F.col("n") > most)
 
 
+def over_limit(df: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
+    """df with `limited`: whether a key came more than `most` times within the `seconds` up to a row, that row and those
+    of its second included. Exact, unlike windows that step."""
+    second = F.unix_timestamp(F.date_trunc("second", F.col(ts).cast("timestamp")))
+    w = Window.partitionBy(key).orderBy(second).rangeBetween(-seconds, 0)
+    return df.withColumn("limited", F.count("*").over(w) > most)
+
+
 def memory(stream: DataFrame, beta: float = BETA) -> DataFrame:
     """Rows (key, epoch, r) to rows (key, epoch, M) for each batch of a key, from at most TRACES traces of state."""
 

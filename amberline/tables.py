@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Written tables are compressed; in memory they take about so many times their files' size, which Spark is to know when
+#: it chooses how to join them.
+IN_MEMORY = "3.0"
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names no such folder (tests in one JVM) a temporary one is set.
+    Only in one JVM (local mode, as in tests) a temporary one is set where the session names none; a cluster has to.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,8 +33,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0") == "1.0":
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", IN_MEMORY)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that `materialise` wrote and nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

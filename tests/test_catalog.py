@@ -41,7 +41,8 @@ def test_query(spark, duck, name):
     elif name == "chain_verify":
         assert len(got) and got["broken"].isna().all() and got["first"].sum() == 1
     elif name == "hrr_bind_unbind":
-        assert len(got) == 25 and got["sim"].between(0.6, 0.8).all()
+        # Over the parts, whose number grows with the scale.
+        assert len(got) == duck.sql("SELECT count(*) FROM part").fetchall()[0][0] and got["sim"].between(0.6, 0.8).all()
     elif name == "stream_tumbling_day":
         batch = catalog.QUERIES["tumbling_day"](spark, SF).toPandas()
         known = set(zip(batch["start"].astype(str), batch["event_type"], batch["n"]))
