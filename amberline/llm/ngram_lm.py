@@ -199,16 +199,19 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
     docs = id_and_text(docs, id_col, text_col)
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
     docs = docs.withColumn("train", F.coalesce(fold != held, F.lit(False)))
-    of_block = materialise(_blocks(docs, folder), "words")
+    words_of = materialise(_blocks(docs, folder), "words")
 
-    n = of_block.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = words_of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, -(-n // SHARD_TOKENS))
-    by_word = of_block.repartition(parts, "word").sortWithinPartitions("word")
+    by_word = words_of.repartition(parts, "word").sortWithinPartitions("word")
     back = materialise(by_word.mapInArrow(_numbered, "block long, part long, data binary, v long"), "back")
     totals = back.groupBy("part").agg(F.max("v").alias("v")).agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.max("part"), F.lit(0))).first()
     v, width = totals[0], totals[1] + 1
-    back = back.select("block", "part", "data").repartition(parts, "block").sortWithinPartitions("block", "part")
+    # Shards and blocks are about equal in size, so they are dealt one by one and not by hashes, which would give some
+    # tasks several and others none.
+    of_block = F.pmod(F.shiftright("block", 24) + 31 * F.col("block").bitwiseAND((1 << 24) - 1), F.lit(parts)).cast("int")
+    back = back.select("block", "part", "data").repartitionById(parts, of_block).sortWithinPartitions("block", "part")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["block"]):
@@ -224,7 +227,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                 rows.append((-1, block, b""))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "block", "data"])
 
-    sent = back.mapInArrow(send, "shard long, block long, data binary").repartition(parts, "shard").sortWithinPartitions("shard", "block")
+    sent = back.mapInArrow(send, "shard long, block long, data binary").repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "block")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["shard"]):
@@ -244,7 +247,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                     mass = trie.mass(contexts)
                     yield _answers([(block, shard, _pack(code.astype(np.int64), np.rint(mass * (1 << 40)).astype(np.int64)))])
 
-    answers = sent.mapInArrow(answer, "block long, shard long, data binary").repartition(parts, "block").sortWithinPartitions("block", "shard")
+    answers = sent.mapInArrow(answer, "block long, shard long, data binary").repartitionById(parts, of_block).sortWithinPartitions("block", "shard")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["block"]):
