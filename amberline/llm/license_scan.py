@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.llm.common import materialise
+from amberline.llm.decontaminate import let
 from amberline.llm.license_texts import TEXTS
 
 #: Short notices and the opening words of public licences.
@@ -56,6 +57,19 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def counted_terms(text: Column) -> Column:
+    """A struct (term, tf) for each different token of a text: its hash and how often it is there. Equal tokens stand side
+    by side once sorted, so nothing is shuffled to count them."""
+
+    def runs(hashes: Column) -> Column:
+        n = F.size(hashes)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(hashes, i) != F.get(hashes, i - 1)))
+        counted = let(starts, lambda s: F.transform(s, lambda at, i: F.struct(F.get(hashes, at).alias("term"), (F.coalesce(F.get(s, i + 1), n) - at).alias("tf"))))
+        return F.when(n > 0, counted).otherwise(F.array().cast("array<struct<term:bigint,tf:int>>"))
+
+    return let(F.sort_array(F.transform(tokens(text), lambda w: F.xxhash64(w))), runs)
+
+
 def templates(spark) -> DataFrame:
     """The parameter table of templates: its size does not depend on the data."""
     every = [(name, text, False) for name, text in TEMPLATES] + [(name, text, True) for name, text in sorted(TEXTS.items())]
@@ -80,7 +94,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     spark = files.sparkSession
     files = files.select(F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # Bounded by the templates alone, whatever the data.
-    terms = materialise(templates(spark).select("template", "licence", "full", F.explode(tokens(F.col("text"))).alias("term")).groupBy("template", "licence", "full", "term").agg(F.count("*").alias("tf")), "terms")
+    terms = materialise(templates(spark).select("template", "licence", "full", F.explode(counted_terms(F.col("text"))).alias("t")).select("template", "licence", "full", "t.term", "t.tf"), "terms")
 
     # A licence file is compared as a whole; of every file, its notice lines and the paragraphs that have one are.
     is_licence = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
@@ -89,45 +103,55 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", least
     none = F.array().cast("array<struct<whole:boolean,piece:string>>")
     cut = F.concat(F.when(is_licence, F.array(piece(F.col("text"), True))).otherwise(none), F.when(F.col("text").rlike(NOTICE), notices).otherwise(none))
     pieces = files.select("path", is_licence.alias("is_licence"), F.explode(cut).alias("p")).select("path", "is_licence", "p.whole", "p.piece").where(F.col("piece") != "")
-    # Equal pieces are compared once, however many files hold them.
-    hashed = pieces.withColumn("digest", F.sha2("piece", 256))
-    distinct = hashed.groupBy("whole", "digest").agg(F.first("piece").alias("piece"))
-    counts = distinct.select("whole", "digest", F.explode(tokens(F.col("piece"))).alias("term")).groupBy("whole", "digest", "term").agg(F.count("*").alias("tf"))
-    counts = materialise(counts, "counts")
+    # Equal pieces are compared once, however many files hold them. They get numbers, which the written table fixes.
+    key = [F.xxhash64("piece").alias("k1"), F.xxhash64("piece", F.lit(1)).alias("k2")]
+    keyed = pieces.select("path", "is_licence", "whole", *key, "piece")
+    distinct = materialise(keyed.groupBy("whole", "k1", "k2").agg(F.first("piece").alias("piece")).withColumn("id", F.monotonically_increasing_id()), "distinct")
+    counts = distinct.select("id", "whole", F.explode(counted_terms(F.col("piece"))).alias("t")).select("id", "whole", "t.term", "t.tf")
 
     vocabulary = terms.groupBy("term").agg((~F.min("full")).alias("short"))
     if all_words:
-        n = counts.select("whole", "digest").distinct().count()
-        counted = counts.groupBy("term").agg(F.count("*").alias("df"))
-        idf = vocabulary.select("term").join(counted, "term", "full").select("term", F.lit(True).alias("short"), (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+        # A word of a piece is in one piece at least, so only those of several are kept.
+        n = distinct.where(F.size(tokens(F.col("piece"))) > 0).count()
+        df = materialise(counts.groupBy("term").agg(F.count("*").alias("df")).where("df > 1"), "df")
+        weight = lambda df: F.log((1.0 + n) / (1 + df)) + 1
+        # A template's word may be in no piece or in one: these few are told by looking for them.
+        one = counts.join(F.broadcast(vocabulary.select("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        idf = materialise(vocabulary.join(one, "term", "left").select("term", weight(F.coalesce("df", F.lit(0))).alias("idf")), "idf")
+        # The frequencies grow with the files: no broadcast is asked for.
+        weighed = counts.join(df, "term", "left").select("id", "whole", "term", (F.col("tf") * weight(F.coalesce("df", F.lit(1)))).alias("w"))
     else:
         # Statistics over all files, of the words that the templates have.
-        of_file = files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-        counted = of_file.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        of_file = files.select(F.explode(F.transform(F.array_distinct(tokens(F.col("text"))), lambda w: F.xxhash64(w))).alias("term"))
+        found = of_file.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         n = files.count()
-        idf = vocabulary.join(counted, "term", "left").select("term", "short", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    idf, rarest = materialise(idf, "idf"), F.lit(math.log(1 + n) + 1)
+        idf = materialise(vocabulary.join(found, "term", "left").select("term", "short", (F.log((1.0 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")), "idf")
+        rarest = F.lit(math.log(1 + n) + 1)
+        weighed = counts.join(F.broadcast(idf), "term", "left").select("id", "whole", "term", (F.col("tf") * F.coalesce(F.when(F.col("whole") | F.col("short"), F.col("idf")), rarest)).alias("w"))
 
     weights = terms.join(idf, "term").select("template", "licence", "full", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = materialise(weights.join(norms, "template").select("template", "licence", "full", "term", (F.col("w") / F.col("norm")).alias("tw")), "weights")
-
-    # The frequencies of all words grow with the files: no broadcast is asked for.
-    weighed = counts.join(idf, "term", "left").select("whole", "digest", "term", (F.col("tf") * F.coalesce(F.when(F.col("whole") | F.col("short"), F.col("idf")), rarest)).alias("w"))
-    lengths = weighed.groupBy("whole", "digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = weighed.join(F.broadcast(weights), "term").where(F.col("whole") | ~F.col("full")).groupBy("whole", "digest", "template", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(lengths, ["whole", "digest"]).groupBy("whole", "digest", "licence").agg(F.max(F.round(F.col("dot") / F.col("length"), DIGITS)).alias("score"))
-    # As many entries as there are licences.
-    near = scored.groupBy("whole", "digest").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "licence"))).alias("near"))
+    weights = materialise(weights.join(norms, "template").select("template", "full", "term", (F.col("w") / F.col("norm")).alias("tw")), "weights")
+    # For each word all its weights at once: a word is looked up once. Template -1 stands for the piece's own length.
+    by_term = weights.groupBy("term").agg(F.collect_list(F.struct("template", "full", "tw")).alias("tws"))
+    parts = weighed.join(F.broadcast(by_term), "term", "left")
+    own = F.array(F.struct(F.lit(-1).alias("template"), (F.col("w") * F.col("w")).alias("x")))
+    dots = F.transform(F.filter("tws", lambda t: F.col("whole") | ~t["full"]), lambda t: F.struct(t["template"].alias("template"), (F.col("w") * t["tw"]).alias("x")))
+    sums = parts.select("id", F.explode(F.concat(own, F.coalesce(dots, F.array().cast("array<struct<template:int,x:double>>")))).alias("p")).groupBy("id", "p.template").agg(F.sum("p.x").alias("x"))
+    # As many entries as there are templates.
+    of_id = sums.groupBy("id").agg(F.max(F.when(F.col("template") < 0, F.sqrt("x"))).alias("length"), F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "x"))).alias("dots"))
+    names_of = F.broadcast(terms.select("template", "licence").distinct())
+    scored = of_id.select("id", "length", F.explode("dots").alias("d")).select("id", "d.template", F.round(F.col("d.x") / F.col("length"), DIGITS).alias("score")).join(names_of, "template")
+    near = scored.groupBy("id", "licence").agg(F.max("score").alias("score")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "licence"))).alias("near"))
     first, second = F.col("near")[0], F.get("near", F.lit(1))
-    of_piece = near.where(-first["minus"] >= least).select("whole", "digest", first["licence"].alias("licence"), (-first["minus"]).alias("score"), F.round(F.coalesce(second["minus"], F.lit(0.0)) - first["minus"], DIGITS).alias("margin"))
-    of_piece = materialise(of_piece, "pieces")
+    of_piece = near.where(-first["minus"] >= least).select("id", first["licence"].alias("licence"), (-first["minus"]).alias("score"), F.round(F.coalesce(second["minus"], F.lit(0.0)) - first["minus"], DIGITS).alias("margin"))
+    of_piece = materialise(of_piece.join(distinct.select("id", "whole", "k1", "k2"), "id").drop("id"), "pieces")
     best = lambda by: F.min(F.struct(*by, (-F.col("score")).alias("minus"), "licence", "margin")).alias("best")
 
     named = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(-only|-or-later|\+)$", "")
     names = sorted({name for name, _ in TEMPLATES if name != "proprietary"} | TEXTS.keys())
     told = files.where(F.col("text").contains("SPDX-License-Identifier:")).select("path", is_licence.alias("is_licence"), F.lit(True).alias("whole"), named.alias("licence"), F.lit(1.0).alias("score"), F.lit(None).cast("double").alias("margin")).where(F.col("licence").isin(names))
-    own = hashed.select("path", "is_licence", "whole", "digest").join(of_piece, ["whole", "digest"]).select("path", "is_licence", "whole", "licence", "score", "margin").unionByName(told)
+    own = keyed.select("path", "is_licence", "whole", "k1", "k2").join(of_piece, ["whole", "k1", "k2"]).select("path", "is_licence", "whole", "licence", "score", "margin").unionByName(told)
     own = own.groupBy("path", "is_licence").agg(best([(~F.col("whole")).alias("part")]))
     own = materialise(own.select("path", "is_licence", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"), F.col("best.margin").alias("margin")), "own")
 
