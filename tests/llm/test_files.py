@@ -119,6 +119,20 @@ def test_warc_index_over_many_blocks(spark, monkeypatch):
     assert warc.read(spark, folder).count() == 400
 
 
+def test_warc_lookup_of_a_table(spark, monkeypatch):
+    """A key of many captures, keys that are not there, keys that repeat, over blocks that share a key."""
+    monkeypatch.setattr(warc, "BLOCK_CAPTURES", 7)
+    monkeypatch.setattr(warc, "INDEX_CAPTURES", 30)
+    rows = [(i, None if i % 3 == 0 else f"http://h{i % 9}.org/{i % 50}", f"text {i}") for i in range(300)]
+    folder = shared_dir(spark, "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.index(warc.write(pages, folder), folder)
+    asked = [None, "http://h4.org/4", "http://h4.org/4", "http://h1.org/0", "http://nothing.org/", "http://zzz.org/"]
+    got = warc.lookup(warc.keys_of(spark.createDataFrame([(u,) for u in asked], "url string")), folder).collect()
+    assert sorted(r.page_id for r in got) == sorted(i for i, u, _ in rows if u in set(asked))
+    assert warc.records(warc.lookup(warc.keys_of(pages), folder), folder).count() == 300
+
+
 def test_url_keys():
     assert warc.url_key("http://www.a.example.org:80/x?q#f") == "org,example,a)/x?q"
     assert warc.url_key("https://A.org:8443") == "org,a:8443)/"
