@@ -4,8 +4,13 @@ Fingerprints of 64 bits that differ in at most 3 bits differ in at most 3 of the
 positional bytes. Single positional bytes would make lists of 1/256 of all fingerprints, so the index keys its lists by
 the bytes at four positions at once. The position sets are the 14 sets of four positions whose numbers give zero under
 exclusive or; any three positions are disjoint from one of them, so every pair that shares 5 positional bytes meets in
-some list. Within a list the shared positional bytes of a pair are tallied, pairs under 5 are dropped, and the rest are
-verified by their differing bits.
+some list. Within a list the shared positional bytes of a pair are tallied: the four of the list, and those of the other
+positions. Pairs under 5 are dropped, and the rest are verified by their differing bits.
+
+A crowded list is dealt out once more, by each of its other four positions and the byte there: a pair that reaches the
+fifth shared byte meets in one of these, so no link is lost, and the list is shared among up to 1024 tasks' lists. What
+is crowded still is cut within its task, by the bits that are left: of four groups of them, one is equal in any two
+fingerprints that differ in 3 bits.
 
 Only distinct fingerprints are indexed, and a list gives the links of a spanning forest, not all its pairs: n
 fingerprints give fewer than n links, and those connect whatever the list's pairs connect.
@@ -28,6 +33,8 @@ from amberline.operators.graph import components
 SEED, SHINGLE_WORDS, MOST_BITS = 42, 3, 3
 POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 LEAST_SHARED = 8 - MOST_BITS
+#: A list with more fingerprints is dealt out once more; one with more than that within a task is cut there.
+CROWDED, IN_MEMORY = 5_000, 1_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _AT_ONCE = 1 << 18
 
@@ -52,8 +59,12 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text) and fp (the fingerprint as a signed long) of every row; null and empty texts
-    have fingerprint zero."""
+    """doc_id, text_hash (XXH64 of the text) and fp (the fingerprint as a signed long) of every row.
+
+    Null, empty and word-less texts have fingerprint zero. Rows that repeat are not put together; a null id stays null.
+    Very long texts are hashed in pieces of bounded memory. Other columns take no part, whatever their names. An empty
+    table gives no rows.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +103,46 @@ def forest(fps: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]
     return out
 
 
+def cut_forest(fps: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int, int]]:
+    """Links that connect what all links of a list connect, without comparing each with each: the bits in which its
+    fingerprints differ are cut into most_bits + 1 groups, one of which is equal in any two that are linked."""
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    free = [b for b in range(64) if differ >> b & 1]
+    if len(fps) <= IN_MEMORY or len(free) <= 2 * most_bits:
+        return forest(fps, most_bits)
+    out: list[tuple[int, int]] = []
+    for group in np.array_split(np.array(free, np.uint64), most_bits + 1):
+        mask = np.bitwise_or.reduce(np.uint64(1) << group)
+        order = np.argsort(fps & mask, kind="stable")
+        value = fps[order] & mask
+        cuts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        for i in np.flatnonzero(np.diff(cuts) > 1):
+            out += cut_forest(fps[order[cuts[i] : cuts[i + 1]]], most_bits)
+    return out
+
+
+def _dealt_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded lists under four keys each: the list, another position, and the byte there."""
+    for batch in batches:
+        keys, fps = batch.column("key").to_numpy(), batch.column("fp")
+        columns = fps.to_numpy().view(np.uint8).reshape(-1, 8)
+        places = np.array([[p for p in range(8) if p not in s] for s in POSITIONS])[keys >> 32]
+        for j in range(4):
+            at = places[:, j]
+            byte = np.take_along_axis(columns, at[:, None], axis=1)[:, 0].astype(np.int64)
+            # Above the lists' own keys: 4 + 3 + 8 bits for list, position and byte, over the 32 of the list's bytes.
+            again = np.int64(1) << 48 | (keys >> 32) << 44 | at.astype(np.int64) << 41 | byte << 33
+            yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(keys & 0xFFFFFFFF), fps], ["key", "sub", "fp"])
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in runs(batches, ["key"]):
-        keys, fps = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    for table in runs(batches, ["key", "sub"]):
+        keys, subs, fps = table.column("key").to_numpy(), table.column("sub").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (subs[1:] != subs[:-1]), [True]]))
         several = np.flatnonzero(np.diff(cuts) > 1)
         pairs: list[tuple[int, int]] = []
         for i in several:
-            pairs += forest(fps[cuts[i] : cuts[i + 1]])
+            pairs += cut_forest(fps[cuts[i] : cuts[i + 1]])
             if len(pairs) > 50_000:
                 yield _pairs(pairs)
                 pairs = []
@@ -115,8 +158,13 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect what all links of 3 bits or fewer connect."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lists = distinct.select("fp").mapInArrow(_postings, "key long, fp long").repartition(parts, "key").sortWithinPartitions("key", "fp")
-    return lists.mapInArrow(_links, "a long, b long")
+    lists = distinct.select("fp").mapInArrow(_postings, "key long, fp long")
+    sizes = materialise(lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("key", F.lit(True).alias("crowded")), "crowded")
+    marked = lists.join(sizes, "key", "left")
+    plain = marked.where("crowded IS NULL").select("key", F.lit(0).cast("long").alias("sub"), "fp")
+    again = marked.where("crowded").select("key", "fp").mapInArrow(_dealt_again, "key long, sub long, fp long")
+    dealt = plain.unionByName(again).repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "fp")
+    return dealt.mapInArrow(_links, "a long, b long")
 
 
 def membership(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -124,6 +124,38 @@ def test_links_of_crowded_lists(spark):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def linked(links, fps):
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert bin((a ^ b) & (1 << 64) - 1).count("1") <= 3
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(int(x)) for x in fps]
+
+
+def test_crowded_lists_are_dealt_out(spark, monkeypatch):
+    """Thousands of fingerprints that agree in four bytes: nothing is lost when their lists are split."""
+    monkeypatch.setattr(simhash, "CROWDED", 40)
+    monkeypatch.setattr(simhash, "IN_MEMORY", 20)
+    rng = np.random.default_rng(11)
+    base = int(rng.integers(0, 1 << 62))
+    prints = {base ^ int(rng.integers(0, 1 << 18)) << 3 for _ in range(1500)} | {base ^ 1 << int(b) ^ 1 << int(c) for b, c in rng.integers(0, 64, (200, 2))}
+    prints = sorted(p & (1 << 64) - 1 for p in prints)
+    fps = np.array(prints, np.uint64).view(np.int64)
+    want = want_components(prints)
+    mine = linked(simhash.links(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect(), fps)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+    mine = linked(simhash.cut_forest(np.array(prints, np.uint64)), prints)
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
+
+
 def test_near_survivors(spark, odd):
     text = " ".join(f"word{i}" for i in range(3000))
     docs = spark.createDataFrame([(5, text), (3, text + " tail"), (4, "quite another text of its own here"), (9, "")], "doc_id long, text string")
