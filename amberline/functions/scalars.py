@@ -66,6 +66,11 @@ def json_value(x: Column, path: str = "$") -> Column:
     return F.get_json_object(x, path if path.startswith("$") else f"$.{path}")
 
 
+def canonical_json(x: Column) -> Column:
+    """JSON text with its keys in order and without spaces; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(x))
+
+
 def canonical(x: Column, kind: str) -> Column:
     """The text that stands for a value where values of any type are compared. Whole doubles have no fraction."""
     text = F.when(x, "PRAWDA").otherwise("FAŁSZ") if kind == "boolean" else x.cast("string")

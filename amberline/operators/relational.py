@@ -29,6 +29,19 @@ def related(df: DataFrame, rels: DataFrame, relation: str, target: str, name: st
     return df.join(keys, df[name] == keys["_source"], "left_semi")
 
 
+def with_scalar(df: DataFrame, query: DataFrame, alias: str) -> DataFrame:
+    """df with the first cell of a query as a column; null if it has no row. A query of several rows gives that of its
+    first one, so it should be ordered."""
+    one = query.select(F.col(query.columns[0]).alias(alias)).limit(1)
+    return df.join(F.broadcast(one), F.lit(True), "left")
+
+
+def with_correlated(df: DataFrame, query: DataFrame, on: tuple[str, str], value: Column, alias: str) -> DataFrame:
+    """df with an aggregate over the rows of a query whose key equals the row's own; null where there are none."""
+    found = query.groupBy(F.col(on[1]).alias("_key")).agg(value.alias(alias))
+    return df.join(found, df[on[0]] == found["_key"], "left").drop("_key")
+
+
 # --- aggregates ----------------------------------------------------------------------------------------------------
 
 

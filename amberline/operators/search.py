@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from amberline.tables import discard, materialise
+
 #: Coupling, thresholds, number of results; decay, and weights of resonance and memory.
 G, R_MIN, DICE_MIN, TOP = 0.3, 0.15, 0.18, 16
 BETA, W_NOW, W_MEMORY, TRACE_MIN, TRACES = 0.005, 0.2, 0.8, 0.05, 256
@@ -124,10 +128,32 @@ def content_classes(df: DataFrame, payload_col: str, id_col: str) -> DataFrame:
     return df.groupBy(F.sha2(F.col(payload_col), 256).alias("digest")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
 
 
-def field_coverage(vectors: DataFrame, least: float = 0.6, m: float = 1.0, block_col: str = "label", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Links of each vector to the smallest id of its block that is at least so similar by field; blocks are compared
-    within themselves, pair by pair on equal block keys."""
-    a = vectors.select(F.col(block_col).alias("_b"), F.col(id_col).alias("id"), F.col(vector_col).alias("_x"))
-    b = vectors.select(F.col(block_col).alias("_b"), F.col(id_col).alias("leader"), F.col(vector_col).alias("_y"))
-    pairs = a.join(b, "_b").where(F.col("leader") <= F.col("id")).where(yukawa(F.col("_x"), F.col("_y"), m) >= least)
-    return pairs.groupBy("id").agg(F.min("leader").alias("leader"))
+def field_coverage(vectors: DataFrame, least: float = 0.6, m: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", axes: int = 3) -> DataFrame:
+    """id and leader: in order of the ids, a vector that no leader before it is similar to (at least `least` by field)
+    leads itself; any other follows the smallest leader that is.
+
+    Similar vectors are closer than a known radius, so they stand in the same or neighbouring cells of a grid of that
+    width over the first `axes` coordinates: only those are compared. Leaders are settled in rounds: a vector leads once
+    every similar one before it follows another, and it follows once one of them leads.
+    """
+    radius = -math.log(least) / m
+    cell = lambda i: F.floor(F.coalesce(F.get(vector_col, F.lit(i)).cast("double"), F.lit(0.0)) / radius)
+    grid = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("_x"), *[cell(i).alias(f"_c{i}") for i in range(axes)])
+    around = grid.select(F.col("id").alias("before"), F.col("_x").alias("_y"), *[F.col(f"_c{i}") for i in range(axes)])
+    for i in range(axes):
+        around = around.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + k for k in (-1, 0, 1)])))
+    pairs = grid.join(around, [f"_c{i}" for i in range(axes)]).where("before < id").where(yukawa(F.col("_x"), F.col("_y"), m) >= least)
+    near = materialise(pairs.select("id", "before"), "near")
+    settled = materialise(vectors.select(F.col(id_col).alias("id")).distinct().join(near.select("id").distinct(), "id", "left_anti").withColumn("leads", F.lit(True)), "settled")
+    while True:
+        # What of each open vector's predecessors is known.
+        known = near.join(settled.select("id"), "id", "left_anti").join(settled.select(F.col("id").alias("before"), "leads"), "before", "left")
+        told = known.groupBy("id").agg(F.max(F.coalesce("leads", F.lit(False))).alias("follows"), F.count_if(F.col("leads").isNull()).alias("open"))
+        new = materialise(told.where("follows OR open = 0").select("id", (~F.col("follows")).alias("leads")), "settled")
+        if new.isEmpty():
+            break
+        last, settled = settled, materialise(settled.unionByName(new), "settled")
+        discard(last)
+    leaders = settled.where("leads").select(F.col("id").alias("before"))
+    follow = near.join(leaders, "before", "left_semi").groupBy("id").agg(F.min("before").alias("leader"))
+    return settled.where("leads").select("id", F.col("id").alias("leader")).unionByName(follow.join(settled.where("NOT leads"), "id", "left_semi").select("id", "leader"))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from amberline.functions.scalars import parsed
+from amberline.operators.search import R_MIN, resonating
 from amberline.operators.thermal import HEAT_READ, T_HOT, T_INIT, clamped, state
 from amberline.tables import materialise, shared_dir
 
@@ -97,6 +98,7 @@ class Store:
         self.indexes: set[str] = set()
         self.rules: list[tuple[str, str, Callable | None]] = []
         self.namespaces, self._saved, self._seq = {DEFAULT}, [], 0
+        self.context: str | None = None
 
     # --- state ---
 
@@ -520,6 +522,28 @@ class Store:
         """Atoms at least so hot, hottest first."""
         return self._own("props").where(F.col("T") >= least).select("name", "key", "atom_id", "v_text", "T").orderBy(F.col("T").desc(), "name", "key")
 
+    def set_context(self, name: str | None) -> None:
+        """The entity whose text stands for a query that names none."""
+        if name is not None:
+            self._known(name)
+        self.context = name
+
+    def texts(self) -> DataFrame:
+        """name, E (name and values as one text, by key) and T (of the hottest atom) of every entity with properties."""
+        words = F.array_sort(F.collect_list(F.struct("key", "v_text")))["v_text"]
+        found = self._own("props").groupBy("name").agg(F.concat_ws(" ", F.col("name"), words).alias("E"), F.max("T").alias("T"))
+        return found
+
+    def resonating(self, query: str | None = None, t_min: float = 0.0, r_min: float = R_MIN, limit: int | None = 10) -> DataFrame:
+        """name, T and R of entities that resonate with a text, or with the context's, which is left out itself."""
+        atoms = self.texts()
+        if query is None:
+            if self.context is None:
+                raise StoreError("no query and no context")
+            probe = F.broadcast(atoms.where(F.col("name") == self.context).select(F.col("E").alias("_q")))
+            return resonating(atoms.where(F.col("name") != self.context).join(probe, F.lit(True)), F.col("_q"), t_min, r_min, limit).select("name", "T", "R")
+        return resonating(atoms, query, t_min, r_min, limit).select("name", "T", "R")
+
     def history(self, name: str, key: str) -> DataFrame:
         """Old values and the current one, oldest first."""
         return self.versions(key, name).orderBy("seq").select("status", "v_text", "ts")

@@ -31,6 +31,10 @@ def touched(t: Column, writing: bool = False) -> Column:
     return heated(t, HEAT_WRITE if writing else HEAT_READ)
 
 
+def killed() -> Column:
+    return F.lit(0.0)
+
+
 def state(t: Column) -> Column:
     return F.when(t >= T_HOT, "HOT").when(t >= T_WARM, "WARM").when(t >= T_COLD, "COLD").otherwise("TOMB")
 
@@ -61,6 +65,17 @@ def stats(atoms: DataFrame) -> DataFrame:
     return atoms.agg(F.count("*").alias("atoms"), F.count_if(t >= T_HOT).alias("hot"), F.count_if((t >= T_WARM) & (t < T_HOT)).alias("warm"), F.count_if((t >= T_COLD) & (t < T_WARM)).alias("cold"), F.count_if(t < T_COLD).alias("tomb"))
 
 
+def census(atoms: DataFrame, retained: DataFrame | None = None) -> DataFrame:
+    """One row: atoms alive and dead (under T_COLD), and how many of the dead a table of atom_id retains."""
+    dead = F.col("T") < T_COLD
+    if retained is None:
+        kept = F.lit(0).cast("long")
+    else:
+        atoms = atoms.join(retained.select("atom_id").distinct().withColumn("_kept", F.lit(True)), "atom_id", "left")
+        kept = F.count_if(dead & F.col("_kept").isNotNull())
+    return atoms.agg(F.count_if(~dead).alias("alive"), F.count_if(dead).alias("dead"), kept.alias("retained"))
+
+
 # --- frames: (tick, atom_id, T, ...) -------------------------------------------------------------------------------
 
 
@@ -95,6 +110,35 @@ def deltas(frames: DataFrame) -> DataFrame:
     return frames.withColumn("key", n % KEYFRAME_EVERY == 0).withColumn("dT", F.col("T") - F.lag("T").over(w))
 
 
+def frame_kinds(frames: DataFrame) -> DataFrame:
+    """tick and key: whether a tick's frame is written whole. That is so for the first, after KEYFRAME_EVERY frames of
+    changes, and wherever the set of atoms is another than in the frame before. One row for each tick is put in order."""
+    ids = frames.groupBy("tick").agg(F.count("*").alias("n"), F.sum(F.xxhash64("atom_id").cast("decimal(38,0)")).alias("set"))
+    order = Window.orderBy("tick")
+    same = F.lag("n").over(order).eqNullSafe(F.col("n")) & F.lag("set").over(order).eqNullSafe(F.col("set"))
+    runs = ids.withColumn("_run", F.sum(F.when(same, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("_run").orderBy("tick")) - 1
+    return runs.select("tick", (place % (KEYFRAME_EVERY + 1) == 0).alias("key"))
+
+
+def snapshot(atoms: DataFrame, at: int) -> DataFrame:
+    """The frame of a tick: tick, atom_id, T and state of every atom."""
+    return atoms.select(F.lit(at).alias("tick"), "atom_id", "T", state(F.col("T")).alias("state"))
+
+
+def append_snapshot(atoms: DataFrame, at: int, path: str) -> None:
+    """Append a tick's frame to a folder of frames, parted by tick; a tick that is written again replaces itself."""
+    snapshot(atoms, at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tick").parquet(path)
+
+
+def search_frames(frames: DataFrame, low: float = 0.0, high: float = T_MAX, in_state: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Rows of frames within a range of temperature and in a state, hottest first, then by tick and atom."""
+    found = frames.where(F.col("T").between(low, high))
+    found = found.where(state(F.col("T")) == in_state) if in_state else found
+    found = found.orderBy(F.col("T").desc(), "tick", "atom_id")
+    return found.limit(limit) if limit is not None else found
+
+
 def chained(frames: DataFrame) -> DataFrame:
     """One row for each tick with the digest of its frame and of the one before: `previous`. The digest of a frame does
     not depend on the order of its rows; the ticks are few next to the rows and are linked in one order."""

@@ -220,13 +220,13 @@ def json_value(s, d):
 @query("SELECT c_custkey, round(c_acctbal - (SELECT avg(c_acctbal) FROM customer), 2) AS off FROM customer")
 def scalar_subquery_uncorrelated(s, d):
     c = table(s, d, "customer").select("c_custkey", "c_acctbal")
-    return c.join(F.broadcast(c.agg(F.avg("c_acctbal").alias("mean"))), F.lit(True)).select("c_custkey", F.round(col("c_acctbal") - col("mean"), 2).alias("off"))
+    return relational.with_scalar(c, c.agg(F.avg("c_acctbal")), "mean").select("c_custkey", F.round(col("c_acctbal") - col("mean"), 2).alias("off"))
 
 
 @query("SELECT c_custkey, coalesce(round((SELECT sum(o_totalprice) FROM orders WHERE o_custkey = c_custkey), 2), 0) AS spent FROM customer")
 def scalar_subquery_correlated(s, d):
-    spent = table(s, d, "orders").groupBy(col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("s"))
-    return table(s, d, "customer").select("c_custkey").join(spent, "c_custkey", "left").select("c_custkey", F.coalesce(F.round("s", 2), F.lit(0.0)).alias("spent"))
+    spent = relational.with_correlated(table(s, d, "customer").select("c_custkey"), table(s, d, "orders"), ("c_custkey", "o_custkey"), F.sum("o_totalprice"), "s")
+    return spent.select("c_custkey", F.coalesce(F.round("s", 2), F.lit(0.0)).alias("spent"))
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -260,10 +260,11 @@ def multi_key_null_safe(s, d):
 
 @query("SELECT c_mktsegment, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def chained_3way(s, d):
-    lines = table(s, d, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount")
-    j = relational.join(lines, table(s, d, "orders").select("o_orderkey", "o_custkey"), [("l_orderkey", "o_orderkey")], alias="O")
-    j = relational.join(j.withColumnRenamed("O.o_custkey", "custkey"), table(s, d, "customer").select("c_custkey", "c_mktsegment"), [("custkey", "c_custkey")], alias="C")
-    return j.groupBy(col("`C.c_mktsegment`").alias("c_mktsegment")).agg(F.count("*").alias("lines"), F.round(F.sum(col("l_extendedprice") * (1 - col("l_discount"))), 2).alias("revenue"))
+    owners = relational.join(table(s, d, "orders").select("o_orderkey", "o_custkey"), table(s, d, "customer").select("c_custkey", "c_mktsegment"), [("o_custkey", "c_custkey")], alias="C")
+    # Lines of an order are added up before they meet it.
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(col("l_extendedprice") * (1 - col("l_discount"))).alias("r"))
+    j = relational.join(lines, owners.select("o_orderkey", col("`C.c_mktsegment`").alias("segment")), [("l_orderkey", "o_orderkey")], alias="O")
+    return j.groupBy(col("`O.segment`").alias("c_mktsegment")).agg(F.sum("n").alias("lines"), F.round(F.sum("r"), 2).alias("revenue"))
 
 
 @query("SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o_custkey")
@@ -837,3 +838,43 @@ def tick_with_resonance(s, d):
     docs = table(s, d, "documents").select(col("doc_id").alias("atom_id"), (col("doc_id") % 100).cast("double").alias("T"), "text")
     kept = search.retained_by_resonance(docs, "the of and in", least=0.0001, text_col="text")
     return thermal.tick(docs.select("atom_id", "T"), 20, resonant=kept).select(col("atom_id").alias("doc_id"), "retained")
+
+
+@query(f"WITH {FRAMES}, t AS (SELECT tick, string_agg(CAST(atom_id AS VARCHAR), ',' ORDER BY atom_id) AS ids FROM frames GROUP BY tick), r AS (SELECT tick, CASE WHEN ids IS NOT DISTINCT FROM lag(ids) OVER (ORDER BY tick) THEN 0 ELSE 1 END AS new FROM t), g AS (SELECT tick, sum(new) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT tick, (row_number() OVER (PARTITION BY run ORDER BY tick) - 1) % 17 = 0 AS key FROM g")
+def frame_kinds(s, d):
+    return thermal.frame_kinds(_frames(s, d))
+
+
+@query(f"WITH {FRAMES} SELECT tick, atom_id, round(T, 6) AS T FROM (SELECT * FROM frames WHERE T >= 30 AND T < 70 ORDER BY T DESC, tick, atom_id LIMIT 100)")
+def frames_by_state(s, d):
+    return thermal.search_frames(_frames(s, d), in_state="WARM").select("tick", "atom_id", F.round("T", 6).alias("T"))
+
+
+@query(f"WITH a AS (SELECT event_id, event_type, {HEAT} * power(0.92, 20) AS t FROM events) SELECT count(*) FILTER (t >= 2) AS alive, count(*) FILTER (t < 2) AS dead, count(*) FILTER (t < 2 AND event_type = 'purchase') AS retained FROM a")
+def atom_census(s, d):
+    e = table(s, d, "events")
+    bounds = F.broadcast(e.agg(F.min("value").alias("lo"), F.max("value").alias("hi")))
+    t = thermal.decayed(100 * (col("value") - col("lo")) / (col("hi") - col("lo")), 20)
+    atoms = e.join(bounds, F.lit(True)).select(col("event_id").alias("atom_id"), t.alias("T"))
+    return thermal.census(atoms, e.where(P.eq(col("event_type"), F.lit("purchase"))).select(col("event_id").alias("atom_id")))
+
+
+@query("""SELECT event_id, '{"a":[' || event_id || ',true],"k":' || json_extract_string(props, '$.k') || ',"z":"' || event_type || '"}' AS canon FROM events""")
+def json_canonical(s, d):
+    """Keys in order, whatever order and spacing they came in."""
+    text = F.concat(F.lit('{ "z" : "'), "event_type", F.lit('", "k": '), X.json_value(col("props"), "$.k"), F.lit(', "a": [ '), "event_id", F.lit(" , true ] }"))
+    return table(s, d, "events").select("event_id", X.canonical_json(text).alias("canon"))
+
+
+@query(f"WITH t AS (SELECT p_partkey AS k, {SQL_TOKENS.format("concat_ws(' ', 'P' || p_partkey, p_brand, p_name)")} AS t FROM part), q AS (SELECT t AS q FROM t WHERE k = 1), r AS (SELECT 'P' || k AS name, round(0.3 * power(len(list_intersect(t, q)) / len(list_distinct(list_concat(t, q))), 2) / 0.09, 9) AS R FROM t, q WHERE k <> 1) SELECT name, R FROM r WHERE R >= 0.15")
+def store_resonance_of_context(s, d):
+    """Entities whose texts resonate with that of the context."""
+    store = _stored(s, table(s, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("name"), col("p_brand").alias("a"), col("p_name").alias("b")))
+    store.set_context("P1")
+    return store.resonating(limit=None).select("name", "R")
+
+
+@query()
+def coverage_leaders(s, d):
+    """Greedy leaders of the embeddings; the tests hold them against a plain loop."""
+    return search.field_coverage(table(s, d, "embeddings"), least=0.5)

@@ -39,3 +39,11 @@ def load(store: Store, path: str, name_column: str | None = None, upsert_on: str
 def save(df: DataFrame, path: str) -> None:
     """A folder of CSV files with headers; null cells are empty."""
     df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').csv(path)
+
+
+def to_pandas(df: DataFrame, most: int = 1_000_000):
+    """Rows as a pandas table for a notebook. More than `most` are refused, not cut: they belong in a job."""
+    out = df.limit(most + 1).toPandas()
+    if len(out) > most:
+        raise ValueError(f"more than {most} rows")
+    return out

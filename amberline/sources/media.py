@@ -15,6 +15,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.sha2("content", 256).alias("id"), "path", F.col("length").alias("size"), F.col("content").alias("bytes"))
 
 
+def listing(media: DataFrame) -> DataFrame:
+    """What is known without the bytes, which are not read."""
+    return media.select("id", "path", "size").orderBy("path")
+
+
+def stat(media: DataFrame, blob: str) -> DataFrame:
+    """Size and number of segments of one blob."""
+    return media.where(F.col("id") == blob).select("id", "path", "size", F.greatest(F.ceil(F.col("size") / SEGMENT), F.lit(1)).alias("segments"))
+
+
 def part(data: Column, offset: int, size: int | None = None) -> Column:
     """A range of bytes, from 0."""
     return F.substring(data, offset + 1, size if size is not None else 1 << 30)

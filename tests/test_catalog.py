@@ -47,5 +47,12 @@ def test_query(spark, duck, name):
         batch = catalog.QUERIES["tumbling_day"](spark, SF).toPandas()
         known = set(zip(batch["start"].astype(str), batch["event_type"], batch["n"]))
         assert len(got) and set(zip(got["start"].astype(str), got["event_type"], got["n"])) <= known
+    elif name == "coverage_leaders":
+        leaders, want = [], {}
+        for i, x in sorted(duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()):
+            lead = next((j for j, y in leaders if math.exp(-math.dist(x, y)) >= 0.5), i)
+            leaders += [(i, x)] if lead == i else []
+            want[i] = lead
+        assert dict(zip(got["id"], got["leader"])) == want
     else:
         pytest.fail("neither SQL nor a test")

@@ -272,3 +272,58 @@ def test_streams(spark):
     query.awaitTermination()
     want = search.memory(traces, 3).first()["M"]
     assert abs(spark.table("m").first()["M"] - want) < 1e-9
+
+
+def test_compaction_and_transactions_of_the_log(spark):
+    s = Store(spark)
+    s.create("A", "B", "C")
+    s.insert("A", RAM=1, Typ="x")
+    s.insert("A", RAM=2)
+    s.insert("B", RAM=5)
+    s.connect("A", "B", "link")
+    s.remove("A", "Typ")
+    s.delete("C")
+    s.begin()
+    s.compact()
+    s.update("A", "RAM", 9)
+    s.rename("A", "Z")
+    assert s.show("Z")["properties"] == {"RAM": "9"} and values(s.history("Z", "RAM"), "status", "v_text") == [("ARCHIVE", "1"), ("ARCHIVE", "2"), ("CURRENT", "9")]
+    s.rollback()
+    s.compact()
+    assert values(s.history("A", "RAM"), "status", "v_text") == [("ARCHIVE", "1"), ("CURRENT", "2")] and values(s.history("A", "Typ"), "status") == ["DELETED"]
+    assert sorted(values(s.names(), "name")) == ["A", "B"] and s.show("A")["relations"] == [("link", "B")]
+    s.create("C")
+    assert s.show("C")["properties"] == {} and s.hot(100).count() == 0 and values(s.project("A", RAM="num"), "RAM") == [2.0]
+    before = values(s.wide().where("name = 'A'"), "TEMPERATURA")[0]
+    s.show("A")
+    assert values(s.wide().where("name = 'A'"), "TEMPERATURA")[0] == min(before + 10, 100)
+    s.connect("A", "B", "link")
+    s.disconnect("A", "B", "link")
+    assert s.relations().count() == 0
+
+
+def test_first_free_names(spark):
+    s = Store(spark)
+    s.create("A", "A_kopia_2", "Q", "Q_3")
+    assert [values(s.clone(s.names().where("name = 'A'")), "name")[0] for _ in range(2)] == ["A_kopia", "A_kopia_3"]
+    assert s.merge_on("Sku", "Q", x=1) == "Q_2" and s.merge_on("Sku", "Q", x=2) == "Q_2" and s.merge_on("Other", "Q", x=1) == "Q_4"
+    rows = frame(spark, [("NIC", 1), (" null ", 2), (None, 3), ("R", 4)], "n string, v int")
+    assert s.insert_rows(rows) == 1 and s.show("R")["properties"] == {"v": "4"}
+
+
+def test_frames_snapshots_and_media_lists(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atoms = frame(spark, [("a", 80.0), ("b", 1.0)], "atom_id string, T double")
+    for at in (1, 2, 2):
+        thermal.append_snapshot(atoms, at, f"{folder}/frames")
+    frames = spark.read.parquet(f"{folder}/frames")
+    assert frames.count() == 4 and values(thermal.search_frames(frames, in_state="HOT"), "tick", "atom_id") == [(1, "a"), (2, "a")]
+    kinds = thermal.frame_kinds(frame(spark, [(t, a, 1.0) for t in range(40) for a in ("ab" if t < 20 else "abc")], "tick int, atom_id string, T double"))
+    assert [r.tick for r in kinds.orderBy("tick").collect() if r.key] == [0, 17, 20, 37]
+    with open(f"{folder}/x.bin", "wb") as f:
+        f.write(b"x" * 5)
+    blobs = media.read(spark, f"{folder}/x.bin")
+    assert media.listing(blobs).columns == ["id", "path", "size"] and values(media.stat(blobs, blobs.first()["id"]), "size", "segments") == [(5, 1)]
+    assert len(csv.to_pandas(atoms)) == 2
+    with pytest.raises(ValueError):
+        csv.to_pandas(atoms, 1)
