@@ -35,12 +35,14 @@ def filesystem(uri: str):
 
 def publish(uri: str, write) -> None:
     """Call `write(stream)` on a private file beside `uri`, then move it into place: a task that is tried again, or
-    twice at once, leaves one whole file."""
+    twice at once, leaves one whole file. What an earlier try left is deleted first, as not every store replaces."""
     files, path = filesystem(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     temporary = f"{os.path.dirname(path)}/_tmp-{uuid.uuid4().hex}"
     with files.open_output_stream(temporary) as stream:
         write(stream)
+    if files.get_file_info(path).type.name != "NotFound":
+        files.delete_file(path)
     files.move(temporary, path)
 
 

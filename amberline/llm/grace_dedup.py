@@ -259,6 +259,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """The rows of docs, all columns, one of each class of equal texts: that with the largest id, any one of those that
     repeat it. The other columns take no part in the comparison.
 
+    A null text equals an empty one. A null id is smaller than any other, so such a row stays only where no row of its
+    class has an id. Very long texts are compared whole; a bucket that is too large for memory is spilled. Columns named
+    as the operator's own are told apart by their place. An empty table gives no rows.
+
     The same Grace hashing as for `membership`, with whole rows: each task drops the copies in its own input, the rest
     is dealt out once, and nothing is joined.
     """

@@ -126,7 +126,12 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is told with enough margin."""
+    """The rows of docs, all columns, whose language is told with enough margin.
+
+    As `predict` has it: null, empty and letterless texts go, so do ties and, when nothing was learned, all rows. Rows
+    that repeat are judged alike. Whole texts are read, very long ones in chunks. Other columns are carried along,
+    whatever their names, and nothing is joined. An empty table gives no rows.
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

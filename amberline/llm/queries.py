@@ -79,6 +79,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_lm": op10_ngram_lm,
 }
 ORACLE: dict[str, str] = {
+    # Every run of at most ten lines and at least ten words that an earlier document has too; longer blocks consist of such.
+    "op2_line_dedup": r"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents),
+        l AS (SELECT doc_id, unnest(t) AS line, generate_subscripts(t, 1) AS i FROM d),
+        b AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
+                     len(regexp_extract_all(line, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')) AS words,
+                     len(regexp_extract_all(line, '[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]')) // 2 AS letters
+              FROM l WHERE trim(line, ' ') <> ''),
+        w AS (SELECT doc_id, p, list(line) OVER ten AS lines, list(greatest(1, words + letters)) OVER ten AS weights
+              FROM b WINDOW ten AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+        n AS (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM w),
+        r AS (SELECT doc_id, p, n, array_to_string(lines[1:n], chr(10)) AS run FROM n WHERE list_sum(weights[1:n]) >= 10),
+        f AS (SELECT run, min(doc_id) AS first FROM r GROUP BY run),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM r JOIN f USING (run) WHERE first < doc_id),
+        cut AS (SELECT b.doc_id, b.i, b.words FROM b JOIN gone ON b.doc_id = gone.doc_id AND b.p = gone.p),
+        kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+                 FROM l ANTI JOIN cut ON l.doc_id = cut.doc_id AND l.i = cut.i GROUP BY l.doc_id),
+        lost AS (SELECT doc_id, count(*) AS n, sum(words) AS words FROM cut GROUP BY doc_id),
+        have AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(have.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed,
+               CAST(coalesce(lost.words, 0) AS BIGINT) AS words_removed, sha256(coalesce(kept.text, '')) AS text_sha256
+        FROM d LEFT JOIN have USING (doc_id) LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS x FROM pages),
         d AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first,

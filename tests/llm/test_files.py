@@ -9,11 +9,12 @@ import zlib
 import numpy as np
 import public_tokenizers as T
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from amberline.llm import token_files, warc
-from amberline.llm.common import filesystem
+from amberline.llm.common import filesystem, publish
 from amberline.tables import shared_dir
 
 PATH = T.path("word_bpe_49k.json")
@@ -30,6 +31,20 @@ def want_tokens(docs):
     return out
 
 
+def test_publish_again(tmp_path):
+    """A task that is tried again leaves its second file, whole, and nothing else."""
+    for data in (b"first, longer", b"second"):
+        publish(f"file://{tmp_path}/a/x.bin", lambda out, data=data: out.write(data))
+    with pytest.raises(RuntimeError):
+
+        def broken(out):
+            out.write(b"half")
+            raise RuntimeError
+
+        publish(f"file://{tmp_path}/a/x.bin", broken)
+    assert (tmp_path / "a" / "x.bin").read_bytes() == b"second"
+
+
 def test_round_trip(documents, odd):
     for docs in (documents, odd, documents.where("false")):
         got = token_files.write_and_read(docs, PATH, 2).collect()

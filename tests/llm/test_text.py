@@ -13,6 +13,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import regex
+import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -119,6 +121,40 @@ def test_narrow_margins(spark):
     assert out.select(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.03
 
 
+def test_languages_by_a_plain_version(documents):
+    """The whole small table: dictionaries, sizes, scores and margins computed anew, row by row."""
+    rows = documents.collect()
+    letters = lambda t: f" {re.sub(r'[^a-zA-ZÀ-ɏ]+', ' ', t.lower()).strip()} ".encode()
+    assert all(re.fullmatch(r"[\x00-ɏ‐-⁯€😀-🙿]*", r.text or "") for r in rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    place = lambda i: np.uint64(xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)).astype(np.int64)
+    pieces = defaultdict(list)
+    for r in rows:
+        if r.lang and not held(r.doc_id) and any(map(str.isalpha, r.text or "")):
+            data = letters(r.text)
+            step = max(1, len(data) // language_id.SAMPLE_PIECES)
+            pieces[r.lang].append((place(r.doc_id), r.doc_id, b"".join(data[i : i + language_id.PIECE_BYTES] for i in range(0, len(data), step))[: language_id.SAMPLE_PIECES * language_id.PIECE_BYTES]))
+    assert all(len(x) <= language_id.SAMPLE_DOCS for x in pieces.values())
+    compress = {}
+    for lang, x in sorted(pieces.items()):
+        d = zstandard.ZstdCompressionDict(b"".join(p for *_, p in sorted(x)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compress[lang] = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress
+    got = {r.doc_id: r for r in language_id.evaluated(documents).collect()}
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        data, sizes = letters(r.text), {}
+        for lang, c in compress.items():
+            parts = [data[i : i + language_id.CHUNK_BYTES] for i in range(0, len(data), language_id.CHUNK_BYTES)]
+            sizes[lang] = sum(len(c(p if len(p) >= language_id.SHORT_BYTES else p * 3)) for p in parts)
+        best = min(sizes, key=lambda lang: (sizes[lang], lang))
+        score = 1 / sum(math.exp(-language_id.NATS_A_BYTE * (s - sizes[best])) for s in sizes.values())
+        margin = sorted(sizes.values())[1] - sizes[best]
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (best, held(r.doc_id)) and abs(got[r.doc_id].score - score) < 1e-9
+        assert got[r.doc_id].rejected == (margin <= language_id.LEAST_MARGIN * len(data))
+
+
 def test_too_many_languages(spark):
     docs = spark.range(70).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
     with pytest.raises(ValueError):
