@@ -32,6 +32,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high.view("<u8"), ones
+        self.zeros: np.ndarray | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -53,14 +54,15 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low_bits
-        at, out = bit >> 3, np.zeros(len(i), np.uint64)
-        for b in range(8):
-            out |= self.low[at + b].astype(np.uint64) << np.uint64(8 * b)
-        return out >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
+        # The eight bytes from any byte on; the sequence is padded by as many.
+        eight = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))[bit >> 3]
+        return eight >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """The positions of the k-th ones or zeros of the bit vector."""
-        counts = 64 * np.arange(len(self.ones)) - self.ones if zeros else self.ones
+        if zeros and self.zeros is None:
+            self.zeros = 64 * np.arange(len(self.ones)) - self.ones
+        counts = self.zeros if zeros else self.ones
         word = np.searchsorted(counts, k, side="right") - 1
         bits, left = self.high[word] ^ np.uint64(0xFFFFFFFFFFFFFFFF if zeros else 0), k - counts[word]
         out = np.zeros(len(k), np.int64)
@@ -108,6 +110,7 @@ class Trie:
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
         self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+        self.sums: np.ndarray | None = None
 
     @classmethod
     def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
@@ -118,29 +121,33 @@ class Trie:
         relative = word + np.repeat(base, ends - first)
         return cls(EliasFano.of(context[first]), EliasFano.of(np.concatenate([first, [len(context)]])), EliasFano.of(relative), codes)
 
+    def ask(self, contexts: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of words, in order of their contexts, of which each has so many (0 where a pair is not there), and for
+        each context the sum of the probabilities of its successors here. A context is looked for once."""
+        codes, mass = np.zeros(len(word), np.uint16), np.zeros(len(contexts))
+        k = self.contexts.find(contexts)
+        known = k >= 0
+        if not known.any():
+            return codes, mass
+        k, sizes_known = k[known], sizes[known]
+        start, end = self.pointers.access(k).astype(np.int64), self.pointers.access(k + 1).astype(np.int64)
+        if self.sums is None:
+            self.sums = np.concatenate([[0.0], np.cumsum(dequantise(np.asarray(self.codes)))])
+        mass[known] = self.sums[end] - self.sums[start]
+        at = np.flatnonzero(np.repeat(known, sizes))
+        base = np.where(start > 0, self.successors.access(np.maximum(start - 1, 0)) + np.uint64(1), np.uint64(0))
+        i = self.successors.find(word[at] + np.repeat(base, sizes_known))
+        good = (i >= np.repeat(start, sizes_known)) & (i < np.repeat(end, sizes_known))
+        codes[at[good]] = self.codes[i[good]]
+        return codes, mass
+
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair; 0 where it is not there."""
-        out = np.zeros(len(context), np.uint16)
-        k = self.contexts.find(context)
-        at = np.flatnonzero(k >= 0)
-        if not at.size:
-            return out
-        start, end = self.pointers.access(k[at]).astype(np.int64), self.pointers.access(k[at] + 1).astype(np.int64)
-        base = np.where(start > 0, self.successors.access(np.maximum(start - 1, 0)) + np.uint64(1), np.uint64(0))
-        i = self.successors.find(word[at] + base)
-        good = (i >= start) & (i < end)
-        out[at[good]] = self.codes[i[good]]
-        return out
+        return self.ask(context, np.ones(len(context), np.int64), word)[0]
 
     def mass(self, context: np.ndarray) -> np.ndarray:
         """The sum of the probabilities of each context's successors here."""
-        out = np.zeros(len(context))
-        k = self.contexts.find(context)
-        at = np.flatnonzero(k >= 0)
-        if at.size:
-            sums = np.concatenate([[0.0], np.cumsum(dequantise(np.asarray(self.codes)))])
-            out[at] = sums[self.pointers.access(k[at] + 1).astype(np.int64)] - sums[self.pointers.access(k[at]).astype(np.int64)]
-        return out
+        return self.ask(context, np.zeros(len(context), np.int64), np.zeros(0, np.uint64))[1]
 
     def save(self, uri: str) -> None:
         parts, head, at = [], {}, 0

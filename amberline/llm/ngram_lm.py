@@ -243,8 +243,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                 trie = Trie.load(uri)
                 for block, (steps, sizes, _, word, _) in zip(blocks, asked, strict=True):
                     contexts = np.cumsum(steps).astype(np.uint64)
-                    code = trie.lookup(np.repeat(contexts, sizes), word.astype(np.uint64))
-                    mass = trie.mass(contexts)
+                    code, mass = trie.ask(contexts, sizes, word.astype(np.uint64))
                     yield _answers([(block, shard, _pack(code.astype(np.int64), np.rint(mass * (1 << 40)).astype(np.int64)))])
 
     answers = sent.mapInArrow(answer, "block long, shard long, data binary").repartitionById(parts, of_block).sortWithinPartitions("block", "shard")
