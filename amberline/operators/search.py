@@ -16,7 +16,10 @@ BETA, W_NOW, W_MEMORY, TRACE_MIN, TRACES = 0.005, 0.2, 0.8, 0.05, 256
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters, digits and underscores."""
-    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), ""))
+    text = F.lower(F.coalesce(text, F.lit("")))
+    # The same for plain ASCII, by a class that is quicker to look for.
+    split = F.when(F.octet_length(text) == F.char_length(text), F.split(text, "[^a-z0-9_]+")).otherwise(F.split(text, r"[^\p{L}\p{N}_]+"))
+    return F.array_distinct(F.array_remove(split, ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -31,6 +34,13 @@ def lorentz(v: Column, de: Column | float = 0.0, g: float = G) -> Column:
     return F.lit(g) * v * v / (F.lit(g * g) + de * de)
 
 
+def with_resonance(atoms: DataFrame, query: Column | str, text_col: str, name: str = "R") -> DataFrame:
+    """atoms with their resonance with a text. Tokens, overlap and kernel are columns of their own, each computed once."""
+    q = F.lit(query) if isinstance(query, str) else query
+    out = atoms.withColumns({"_own": tokens(F.col(text_col)), "_query": tokens(q)}).withColumn("_overlap", jaccard(F.col("_own"), F.col("_query")))
+    return out.withColumn(name, lorentz(F.col("_overlap"))).drop("_own", "_query", "_overlap")
+
+
 def surface(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
@@ -57,10 +67,8 @@ def surface_similarity(x: Column, y: Column) -> Column:
 
 def resonance_search(atoms: DataFrame, query: str, text_col: str = "E", name_col: str = "name", top: int = TOP) -> DataFrame:
     """Names of the `top` atoms that resonate with the query by tokens, or by n-grams; distinct and sorted."""
-    q = F.lit(query)
-    r = lorentz(jaccard(tokens(F.col(text_col)), tokens(q)))
-    s = surface_similarity(F.col(text_col), q)
-    scored = atoms.withColumn("_r", r).withColumn("_s", s).where((F.col("_r") >= R_MIN) | (F.col("_s") >= DICE_MIN))
+    s = surface_similarity(F.col(text_col), F.lit(query))
+    scored = with_resonance(atoms, query, text_col, "_r").withColumn("_s", s).where((F.col("_r") >= R_MIN) | (F.col("_s") >= DICE_MIN))
     score = F.when(F.col("_r") >= R_MIN, F.col("_r") + 1).otherwise(F.col("_s"))
     return scored.orderBy(score.desc(), name_col).limit(top).select(name_col).distinct().orderBy(name_col)
 
@@ -68,16 +76,14 @@ def resonance_search(atoms: DataFrame, query: str, text_col: str = "E", name_col
 def resonating(atoms: DataFrame, query: Column | str, t_min: float = 0.0, r_min: float = R_MIN, limit: int | None = 10, text_col: str = "E", name_col: str = "name") -> DataFrame:
     """Atoms of at least t_min whose resonance R with a text is at least r_min, strongest first, then by name. `query` is a
     text or a one-row column joined to `atoms`. With no limit it gives a set for `thermal.tick` to retain."""
-    q = F.lit(query) if isinstance(query, str) else query
-    found = atoms.where(F.col("T") >= t_min).withColumn("R", F.round(lorentz(jaccard(tokens(F.col(text_col)), tokens(q))), 9)).where(F.col("R") >= r_min)
+    found = with_resonance(atoms.where(F.col("T") >= t_min), query, text_col).withColumn("R", F.round("R", 9)).where(F.col("R") >= r_min)
     return found.orderBy(F.col("R").desc(), name_col).limit(limit) if limit is not None else found
 
 
 def retained_by_resonance(atoms: DataFrame, query: str, traces: DataFrame | None = None, now: int = 0, least: float = R_MIN, text_col: str = "E") -> DataFrame:
     """atom_id of the atoms whose resonance with a text, or whose relevance where a memory of traces (key: atom_id, epoch,
     r) is given, is at least `least`: a set for `thermal.tick`."""
-    r = lorentz(jaccard(tokens(F.col(text_col)), tokens(F.lit(query))))
-    scored = atoms.select("atom_id", r.alias("R"))
+    scored = with_resonance(atoms, query, text_col).select("atom_id", "R")
     if traces is None:
         return scored.where(F.col("R") >= least).select("atom_id")
     known = memory(traces, now).withColumnRenamed("key", "atom_id")

@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Written tables are compressed; in memory they take about so many times their files' size, which Spark is to know when
-#: it chooses how to join them.
-IN_MEMORY = "3.0"
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
@@ -33,8 +28,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    if spark.conf.get("spark.sql.sources.fileCompressionFactor", "1.0") == "1.0":
-        spark.conf.set("spark.sql.sources.fileCompressionFactor", IN_MEMORY)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.folder = path
