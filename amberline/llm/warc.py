@@ -56,15 +56,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, code: str) -> str:
+    """The name of a record: its page and the digest of its payload. So pages that repeat an id, or have none, differ in
+    name unless they are equal, and a revisit can name the response that it refers to."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{code}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool) -> bytes:
     """One WARC record, compressed. A revisit has no payload, but its length and digest."""
-    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _urn(page_id), "WARC-Date": DATE, "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{digest(payload)}", "X-Payload-Length": str(len(payload))}
+    code = digest(payload)
+    head = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _urn(page_id, code), "WARC-Date": DATE, "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"), "WARC-Payload-Digest": f"sha1:{code}", "X-Payload-Length": str(len(payload))}
     if revisit:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(first)}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(first, code)}
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (b"" if revisit else payload)
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(body))}
@@ -93,7 +96,7 @@ def info() -> bytes:
 
 
 def _page(urn: str) -> int | None:
-    n = urn.removeprefix("<urn:page:").removesuffix(">")
+    n = urn.removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return int(n) if n else None
 
 

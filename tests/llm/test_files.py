@@ -121,6 +121,15 @@ def test_warc(spark):
     assert warc.write_and_read(pages.where("false")).count() == 0
 
 
+def test_warc_record_names():
+    """Pages without an id, and pages that repeat one, bear different names; a revisit names its response."""
+    head = lambda *x: warc.parse(warc.record(*x))[0]
+    names = [head(i, "http://a.org/", text, None, False)["WARC-Record-ID"] for i, text in ((None, b"x"), (None, b"y"), (5, b"x"), (5, b"y"))]
+    assert len(set(names)) == 4
+    again = head(9, "http://b.org/", b"x", 5, True)
+    assert again["WARC-Refers-To"] == names[2] and again["WARC-Record-ID"] not in names
+
+
 def test_warc_index_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_CAPTURES", 7)
     monkeypatch.setattr(warc, "INDEX_CAPTURES", 30)
