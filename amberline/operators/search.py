@@ -16,10 +16,7 @@ BETA, W_NOW, W_MEMORY, TRACE_MIN, TRACES = 0.005, 0.2, 0.8, 0.05, 256
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case runs of letters, digits and underscores."""
-    text = F.lower(F.coalesce(text, F.lit("")))
-    # The same for plain ASCII, by a class that is quicker to look for.
-    split = F.when(F.octet_length(text) == F.char_length(text), F.split(text, "[^a-z0-9_]+")).otherwise(F.split(text, r"[^\p{L}\p{N}_]+"))
-    return F.array_distinct(F.array_remove(split, ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -34,11 +31,16 @@ def lorentz(v: Column, de: Column | float = 0.0, g: float = G) -> Column:
     return F.lit(g) * v * v / (F.lit(g * g) + de * de)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), where value is computed once however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def with_resonance(atoms: DataFrame, query: Column | str, text_col: str, name: str = "R") -> DataFrame:
-    """atoms with their resonance with a text. Tokens, overlap and kernel are columns of their own, each computed once."""
+    """atoms with their resonance with a text. Tokens and overlap are computed once for a row."""
     q = F.lit(query) if isinstance(query, str) else query
-    out = atoms.withColumns({"_own": tokens(F.col(text_col)), "_query": tokens(q)}).withColumn("_overlap", jaccard(F.col("_own"), F.col("_query")))
-    return out.withColumn(name, lorentz(F.col("_overlap"))).drop("_own", "_query", "_overlap")
+    overlap = _once(tokens(F.col(text_col)), lambda a: _once(tokens(q), lambda b: jaccard(a, b)))
+    return atoms.withColumn(name, _once(overlap, lambda v: lorentz(v)))
 
 
 def surface(text: Column) -> Column:
@@ -76,7 +78,8 @@ def resonance_search(atoms: DataFrame, query: str, text_col: str = "E", name_col
 def resonating(atoms: DataFrame, query: Column | str, t_min: float = 0.0, r_min: float = R_MIN, limit: int | None = 10, text_col: str = "E", name_col: str = "name") -> DataFrame:
     """Atoms of at least t_min whose resonance R with a text is at least r_min, strongest first, then by name. `query` is a
     text or a one-row column joined to `atoms`. With no limit it gives a set for `thermal.tick` to retain."""
-    found = with_resonance(atoms.where(F.col("T") >= t_min), query, text_col).withColumn("R", F.round("R", 9)).where(F.col("R") >= r_min)
+    found = with_resonance(atoms.where(F.col("T") >= t_min), query, text_col).withColumn("R", F.round("R", 9))
+    found = found.where(F.col("R") >= r_min) if r_min > 0 else found  # resonance is never below 0
     return found.orderBy(F.col("R").desc(), name_col).limit(limit) if limit is not None else found
 
 
