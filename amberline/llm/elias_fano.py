@@ -106,40 +106,44 @@ class EliasFano:
 class Trie:
     """Contexts (level 1), monotone pointers to their successors, and the successors (level 2), with a quantised
     probability each. A successor is stored relative to its context: plus the last number of the context before it, so
-    that the whole level rises."""
+    that the whole level rises. A context can have a whole number of its own."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, own: np.ndarray):
+        self.contexts, self.pointers, self.successors, self.codes, self.own = contexts, pointers, successors, codes, own
         self.sums: np.ndarray | None = None
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """context and word: sorted, distinct pairs."""
+    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray, weight: np.ndarray | None = None) -> Trie:
+        """context and word: sorted, distinct pairs. A context's own number is the sum of its pairs' weights, else 0."""
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
         ends = np.concatenate([first[1:], [len(context)]]) if len(first) else first
         base = np.concatenate([[0], np.cumsum(word[ends - 1] + np.uint64(1))[:-1]]).astype(np.uint64) if len(first) else np.zeros(0, np.uint64)
         relative = word + np.repeat(base, ends - first)
-        return cls(EliasFano.of(context[first]), EliasFano.of(np.concatenate([first, [len(context)]])), EliasFano.of(relative), codes)
+        own = np.add.reduceat(weight, first) if weight is not None and len(first) else np.zeros(len(first), np.int64)
+        own = own.astype("<u4" if not len(own) or int(own.max()) < 1 << 32 else "<u8")
+        return cls(EliasFano.of(context[first]), EliasFano.of(np.concatenate([first, [len(context)]])), EliasFano.of(relative), codes, own)
 
-    def ask(self, contexts: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ask(self, contexts: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The codes of words, in order of their contexts, of which each has so many (0 where a pair is not there), and for
-        each context the sum of the probabilities of its successors here. A context is looked for once."""
-        codes, mass = np.zeros(len(word), np.uint16), np.zeros(len(contexts))
+        each context the sum of the probabilities of its successors here and its own number. A context is looked for
+        once."""
+        codes, mass, own = np.zeros(len(word), np.uint16), np.zeros(len(contexts)), np.zeros(len(contexts), np.int64)
         k = self.contexts.find(contexts)
         known = k >= 0
         if not known.any():
-            return codes, mass
+            return codes, mass, own
         k, sizes_known = k[known], sizes[known]
         start, end = self.pointers.access(k).astype(np.int64), self.pointers.access(k + 1).astype(np.int64)
         if self.sums is None:
-            self.sums = np.concatenate([[0.0], np.cumsum(dequantise(np.asarray(self.codes)))])
-        mass[known] = self.sums[end] - self.sums[start]
+            # Each for itself: differences of running sums would lose small ones.
+            self.sums = np.add.reduceat(dequantise(np.asarray(self.codes)), self.pointers.access(np.arange(self.contexts.n)).astype(np.int64))
+        mass[known], own[known] = self.sums[k], self.own[k]
         at = np.flatnonzero(np.repeat(known, sizes))
         base = np.where(start > 0, self.successors.access(np.maximum(start - 1, 0)) + np.uint64(1), np.uint64(0))
         i = self.successors.find(word[at] + np.repeat(base, sizes_known))
         good = (i >= np.repeat(start, sizes_known)) & (i < np.repeat(end, sizes_known))
         codes[at[good]] = self.codes[i[good]]
-        return codes, mass
+        return codes, mass, own
 
     def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The code of each pair; 0 where it is not there."""
@@ -155,7 +159,7 @@ class Trie:
             level = getattr(self, name)
             head[name] = {"n": level.n, "low_bits": level.low_bits}
             parts += [(f"{name}.{k}", a) for k, a in level.arrays().items()]
-        parts.append(("codes", self.codes))
+        parts += [("codes", self.codes), ("own", self.own)]
         for name, a in parts:
             head[name] = {**head.get(name, {}), "at": at, "size": a.nbytes, "dtype": a.dtype.str}
             at += a.nbytes + -a.nbytes % 8
@@ -186,4 +190,4 @@ class Trie:
             return np.frombuffer(buffer, np.dtype(h["dtype"]), h["size"] // np.dtype(h["dtype"]).itemsize, 8 + size + h["at"])
 
         levels = [EliasFano(head[n]["n"], head[n]["low_bits"], array(f"{n}.low"), array(f"{n}.high"), array(f"{n}.ones")) for n in ("contexts", "pointers", "successors")]
-        return cls(*levels, array("codes"))
+        return cls(*levels, array("codes"), array("own"))

@@ -10,7 +10,7 @@ and word pairs once, however often it has them. So no word or pair, however comm
    told by the context. A context that makes up much of all tokens is dealt over several shards by its words.
 4. Shards. Each sums the counts, keeps the pairs that occur at least min_count times, writes their discounted
    probabilities as a trie, and answers each block from the mapped trie: the code of each pair, and for each context
-   the probability that its kept successors have in all.
+   what its kept successors have in all, exactly, and by how much their codes miss that.
 5. Scores. Each block adds up its documents.
 
 The model is interpolated absolute discounting. With N training tokens of V distinct ones, and c counts:
@@ -18,7 +18,8 @@ The model is interpolated absolute discounting. With N training tokens of V dist
     p(w)       = (c(w) + 1) / (N + V + 1)
     p(w | u)   = d(u, w) + (1 - sum of d(u, x) over x) * p(w),   d(u, w) = (c(u, w) - DISCOUNT) / c(u) or 0 if not kept
 
-where u is the token before w, or the start of the text. An unknown u gives p(w).
+where u is the token before w, or the start of the text. An unknown u gives p(w). The sum of d(u, x) comes from exact
+counts, so at least DISCOUNT / c(u) is left for p(w); the decoded d(u, w) are scaled to that sum.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MIN_COUNT, DISCOUNT = 2, 0.75
 #: A block is closed at this many tokens (a longer document is a block of its own); training tokens that a shard is
 #: made for.
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 3_000_000
+#: Sums of discounted counts are kept as multiples of 1 / PARTS, scales of decoded probabilities as multiples of 1 / FINE.
+PARTS, FINE = 4, 1 << 20
 START, UNKNOWN = 0, -1
 _MIX = 0x9E3779B97F4A7C15
 
@@ -241,10 +244,12 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_i
                 uri = f"{folder}/model/{shard}.trie"
                 _train(asked, min_count).save(uri)
                 trie = Trie.load(uri)
-                for block, (steps, sizes, _, word, _) in zip(blocks, asked, strict=True):
+                for block, (steps, sizes, counts, word, _) in zip(blocks, asked, strict=True):
                     contexts = np.cumsum(steps).astype(np.uint64)
-                    code, mass = trie.ask(contexts, sizes, word.astype(np.uint64))
-                    yield _answers([(block, shard, _pack(code.astype(np.int64), np.rint(mass * (1 << 40)).astype(np.int64)))])
+                    code, mass, kept = trie.ask(contexts, sizes, word.astype(np.uint64))
+                    # Near 1, as codes are; 1 where no pair is kept.
+                    scale = np.divide(kept / (PARTS * np.maximum(counts, 1)), mass, out=np.ones(len(mass)), where=mass > 0)
+                    yield _answers([(block, shard, _pack(code.astype(np.int64), kept, np.rint(scale * FINE).astype(np.int64)))])
 
     answers = sent.mapInArrow(answer, "block long, shard long, data binary").repartitionById(parts, of_block).sortWithinPartitions("block", "shard")
 
@@ -331,7 +336,7 @@ def _train(asked: list[list[np.ndarray]], min_count: int) -> Trie:
     total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
     kept, total = first[total >= min_count], total[total >= min_count]
     codes = quantise((total - DISCOUNT) / np.maximum(context_count[kept], 1))
-    return Trie.of(context[kept].astype(np.uint64), word[kept].astype(np.uint64), codes)
+    return Trie.of(context[kept].astype(np.uint64), word[kept].astype(np.uint64), codes, np.rint(PARTS * (total - DISCOUNT)).astype(np.int64))
 
 
 def _answers(rows: list[tuple]) -> pa.RecordBatch:
@@ -340,15 +345,17 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
 
 def _scored(folder: str, block: int, data: dict[int, bytes], n: int, v: int, shards: int) -> pa.RecordBatch:
     pairs = _Pairs(folder, block)
-    code = np.zeros(len(pairs.context), np.int64)
+    d = np.zeros(len(pairs.context))
     all_contexts, at = np.unique(pairs.context, return_inverse=True)
-    mass = np.zeros(len(all_contexts), np.int64)
-    for s, i, contexts, _, _ in pairs.dealt(n, shards):
-        codes, masses = _unpack(data[s])
-        code[i] = codes
-        mass[np.searchsorted(all_contexts, contexts)] += masses
-    left = np.clip(1 - mass / (1 << 40), 0, 1)
-    d, gamma = dequantise(code), left[at] if len(at) else np.zeros(0)
+    kept, count = np.zeros(len(all_contexts), np.int64), np.ones(len(all_contexts), np.int64)
+    for s, i, contexts, sizes, counts in pairs.dealt(n, shards):
+        codes, parts, scale = _unpack(data[s])
+        d[i] = dequantise(codes) * np.repeat(scale, sizes) / FINE
+        k = np.searchsorted(all_contexts, contexts)
+        kept[k] += parts
+        count[k] = np.maximum(counts, 1)
+    left = (PARTS * count - kept) / (PARTS * count)
+    gamma = left[at] if len(at) else np.zeros(0)
     plain = (pairs.count + 1) / (n + v + 1)
     p = plain.copy()
     p[pairs.valid] = d[pairs.which] + gamma[pairs.which] * plain[pairs.valid]

@@ -361,6 +361,18 @@ def test_every_pair_is_kept(documents):
         assert abs(g[6] - want) <= 0.002 * g[2]
 
 
+def test_a_word_never_seen_after_a_frequent_pair(spark):
+    """A context with one successor, so often that its quantised probability is 1."""
+    rows = [(i, "of the " * 40 + "end") for i in range(60)]
+    held = [i for i in range(60, 90) if zlib.crc32(str(i).encode()) % 7 == 2]
+    docs = spark.createDataFrame(rows + [(i, "of end of end the the") for i in held], "doc_id long, text string")
+    for least in (1, 2):
+        got = {r.doc_id: r for r in ngram_lm.score(docs, min_count=least).collect()}
+        assert all(math.isfinite(r.score) for r in got.values())
+    for w in want_scores(docs.collect()):
+        assert abs(got[w[0]].score - w[6]) <= 0.002 * w[2]
+
+
 def test_scores_over_many_shards(documents, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", 1_000)
     got = sorted((tuple(r) for r in ngram_lm.score(documents).collect()), key=str)
