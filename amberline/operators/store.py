@@ -64,11 +64,17 @@ def bucket(ns: Column, name: Column) -> Column:
     return F.pmod(F.xxhash64(ns, name), F.lit(BUCKETS)).cast("int")
 
 
+def large(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the store. Spark would judge it by its compressed files, in which names take a few
+    bits each, and build what it broadcasts in the driver's memory, where they take a hundred times that."""
+    return side.hint("merge")
+
+
 def first_free(wanted: DataFrame, used: DataFrame) -> DataFrame:
     """stem and n for each stem of `wanted`: the smallest number from 1 that `used` (stem, n) lacks."""
-    used = used.join(wanted, "stem", "left_semi").distinct()
+    used = used.join(large(wanted), "stem", "left_semi").distinct()
     candidates = wanted.select("stem", F.lit(1).alias("n")).unionByName(used.select("stem", (F.col("n") + 1).alias("n")))
-    return candidates.join(used, ["stem", "n"], "left_anti").groupBy("stem").agg(F.min("n").alias("n"))
+    return candidates.join(large(used), ["stem", "n"], "left_anti").groupBy("stem").agg(F.min("n").alias("n"))
 
 
 class StoreError(ValueError):
@@ -94,6 +100,8 @@ class Store:
         self.spark, self.ns = spark, DEFAULT
         self.folders: dict[str, tuple[str, ...]] = {k: () for k in LOGS}
         self.bases: dict[str, str | None] = dict.fromkeys(LOGS)
+        #: Tables in which something was ended since they were compacted; others need no look at ends.
+        self.ended: frozenset[str] = frozenset()
         self.views: dict[str, Callable[[Store], DataFrame]] = {}
         self.indexes: set[str] = set()
         self.rules: list[tuple[str, str, Callable | None]] = []
@@ -122,11 +130,14 @@ class Store:
 
     def _living(self, name: str | None = None) -> DataFrame:
         """Rows of props that no end of their entity or key came after."""
-        ends = self._log("bubbles", name).where("op = 'gone'").groupBy("ns", "name").agg(F.max("seq").alias("_end"))
-        rows = self._log("props", name)
-        keys = rows.where("op = 'gone'").groupBy("ns", "name", "key").agg(F.max("seq").alias("_last"))
-        rows = rows.join(ends, ["ns", "name"], "left").where("_end IS NULL OR seq > _end")
-        return rows.join(keys, ["ns", "name", "key"], "left").where("_last IS NULL OR seq > _last").drop("_end", "_last", "bucket")
+        log = rows = self._log("props", name)
+        if "bubbles" in self.ended:
+            ends = self._log("bubbles", name).where("op = 'gone'").groupBy("ns", "name").agg(F.max("seq").alias("_end"))
+            rows = rows.join(large(ends), ["ns", "name"], "left").where("_end IS NULL OR seq > _end").drop("_end")
+        if "props" in self.ended:
+            keys = log.where("op = 'gone'").groupBy("ns", "name", "key").agg(F.max("seq").alias("_last"))
+            rows = rows.join(large(keys), ["ns", "name", "key"], "left").where("_last IS NULL OR seq > _last").drop("_last")
+        return rows.drop("bucket")
 
     def table(self, name: str, of: str | None = None) -> DataFrame:
         """bubbles, props, rels or history as they are now; of one entity (a relation's source), if it is named."""
@@ -158,6 +169,7 @@ class Store:
         for t, path in now.items():
             empty = self.spark.read.schema(LOGS[t]).parquet(path).isEmpty()
             self.bases[t], self.folders[t] = None if empty else path, ()
+        self.ended = frozenset()
 
     def load_tables(self, tables: dict[str, DataFrame]) -> None:
         """Take over bubbles, props, rels and history as `table` gives them."""
@@ -172,7 +184,7 @@ class Store:
         self.namespaces |= {r.ns for r in tables["bubbles"].select("ns").distinct().collect()}
 
     def _state(self) -> tuple:
-        return self.ns, dict(self.folders), dict(self.bases), dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)
+        return self.ns, dict(self.folders), dict(self.bases), self.ended, dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)
 
     def begin(self) -> None:
         self._saved.append(self._state())
@@ -181,7 +193,7 @@ class Store:
         self._saved.pop()
 
     def rollback(self) -> None:
-        self.ns, self.folders, self.bases, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
+        self.ns, self.folders, self.bases, self.ended, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
 
     def transaction(self, *steps: Callable[[Store], object]) -> list:
         """All steps or none."""
@@ -246,7 +258,7 @@ class Store:
             elif kind == "check":
                 bad = own.where(~F.coalesce(check(F.struct(*VALUE)), F.lit(False)))
             else:
-                others = self._own("props").where(F.col("key") == key).join(own.select("name"), "name", "left_anti")
+                others = self._own("props").where(F.col("key") == key).join(large(own.select("name")), "name", "left_anti")
                 both = own.select("name", "vtype", "v_text").unionByName(others.select("name", "vtype", "v_text"))
                 bad = both.where(F.col("vtype") != "null").groupBy("v_text").count().where("count > 1")
             if not bad.isEmpty():
@@ -271,12 +283,12 @@ class Store:
     def _write(self, new: DataFrame, order: list[str] = ()) -> int:
         """Set properties (name, key and value columns); what they replace is history. Of several values for one key
         in one statement the last by `order` holds."""
-        new = materialise(self._checked(new), "new")
+        new = self._checked(materialise(new, "new")) if self.rules else new
         now = int(time.time() * 1000)
         self._seq += 1
         sub = F.row_number().over(Window.partitionBy("name", "key").orderBy(*order)) if order else F.lit(0)
         self._append("props", new.select(F.lit(self.ns).alias("ns"), "name", "key", *VALUE, F.expr("uuid()").alias("atom_id"), F.lit(now).alias("ts"), F.lit(T_INIT).alias("T"), F.lit(self._seq).cast("long").alias("seq"), sub.cast("long").alias("sub"), F.lit("set").alias("op")))
-        return new.count()
+        return self.spark.read.schema(LOGS["props"]).parquet(self.folders["props"][-1]).count()
 
     def _end(self, table: str, rows: DataFrame) -> None:
         """Append ends of what `rows` names."""
@@ -285,12 +297,13 @@ class Store:
         have = set(rows.columns)
         missing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in LOGS[table].split(", ") if c.split()[0] not in have | {"bucket"}}
         self._append(table, rows.withColumns(missing | marks))
+        self.ended |= {table}
 
     def create(self, *names: str) -> None:
         self.create_all(self.spark.createDataFrame([(n,) for n in names], "name string"))
 
     def create_all(self, names: DataFrame) -> None:
-        clash = names.join(self._own("bubbles").select("name"), "name", "left_semi")
+        clash = names.join(large(self._own("bubbles").select("name")), "name", "left_semi")
         if not clash.isEmpty() or not names.groupBy("name").count().where("count > 1").isEmpty():
             raise StoreError("an entity of that name exists")
         self._seq += 1
@@ -317,7 +330,7 @@ class Store:
         first, *others = rows.columns
         rows = materialise(rows, "rows")
         names = rows.select(F.col(first).cast("string").alias("name")).distinct()
-        self.create_all(names.join(self._own("bubbles").select("name"), "name", "left_anti"))
+        self.create_all(names.join(large(self._own("bubbles").select("name")), "name", "left_anti"))
         return self._write(self._unpivot(rows, first, [c for c in others if c not in order], list(order)), list(order))
 
     def merge_rows(self, rows: DataFrame, on: str) -> int:
@@ -325,7 +338,7 @@ class Store:
         others create an entity under their first column's name."""
         name = rows.columns[0]
         known = self._own("props").where((F.col("key") == on) & (F.col("vtype") != "null")).groupBy(F.col("v_text").alias("_k")).agg(F.min("name").alias("_name"))
-        joined = rows.join(known, rows[on].cast("string") == known["_k"], "left")
+        joined = rows.join(large(known), rows[on].cast("string") == known["_k"], "left")
         return self.set_rows(joined.select(F.coalesce("_name", F.col(name).cast("string")).alias("_entity"), *[c for c in rows.columns if c != name]))
 
     @staticmethod
@@ -360,7 +373,7 @@ class Store:
         if isinstance(value, str) and value[:1] in "+-" and value[1:].replace(".", "", 1).isdigit():
             step = float(value)
         old = self._own("props", one).where(F.col("key") == key).select("name", *[F.col(c).alias(f"_{c}") for c in VALUE])
-        both = names.join(old, "name", "left")
+        both = names.join(large(old), "name", "left")
         if step is None:
             new = both.select("name", F.lit(key).alias("key"), *[literals[c].alias(c) for c in VALUE])
         else:
@@ -405,8 +418,8 @@ class Store:
         free = first_free(names.select(F.col("name").alias("stem")), used)
         new = free.select(F.col("stem").alias("name"), F.concat("stem", F.lit(suffix), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("copy"))
         new = materialise(new, "copies")
-        props = self._own("props").join(new, "name").select(F.col("copy").alias("name"), "key", *VALUE)
-        rels = materialise(self._own("rels").join(new, F.col("source") == F.col("name")).select(F.col("copy").alias("source"), "relation", "target"), "relations")
+        props = self._own("props").join(large(new), "name").select(F.col("copy").alias("name"), "key", *VALUE)
+        rels = materialise(self._own("rels").join(large(new), F.col("source") == F.col("name")).select(F.col("copy").alias("source"), "relation", "target"), "relations")
         self.create_all(new.select(F.col("copy").alias("name")))
         self._write(props)
         self.connect_all(rels)
@@ -425,8 +438,8 @@ class Store:
             self._known(where)
             where = self.spark.createDataFrame([(where,)], "name string")
         names = where.select(F.lit(self.ns).alias("ns"), F.col(where.columns[0]).alias("name")).distinct()
-        names = materialise(names.join(self.table("bubbles"), ["ns", "name"], "left_semi"), "gone")
-        source, target = names.withColumnRenamed("name", "source"), names.withColumnRenamed("name", "target")
+        names = materialise(names.join(large(self.table("bubbles")), ["ns", "name"], "left_semi"), "gone")
+        source, target = large(names.withColumnRenamed("name", "source")), large(names.withColumnRenamed("name", "target"))
         rels = self.table("rels")
         self._end("rels", rels.join(source, ["ns", "source"], "left_semi").unionByName(rels.join(target, ["ns", "target"], "left_semi")).distinct())
         self._end("bubbles", names)
@@ -474,7 +487,7 @@ class Store:
     def excite(self, gains: DataFrame) -> None:
         """Add energy (name, energy) to the temperature of every atom of an entity."""
         self._seq += 1
-        joined = self._own("props").join(gains, "name").withColumn("T", clamped(F.col("T") + F.coalesce("energy", F.lit(0.0))))
+        joined = self._own("props").join(large(gains), "name").withColumn("T", clamped(F.col("T") + F.coalesce("energy", F.lit(0.0))))
         self._append("props", joined.withColumns({"seq": F.lit(self._seq).cast("long"), "sub": F.lit(0).cast("long"), "op": F.lit("heat")}))
 
     # --- reading ---
@@ -496,10 +509,9 @@ class Store:
         """One row for each entity: name, TEMPERATURA, and the given properties as columns of a kind (text, num, bool,
         json). Missing properties are null."""
         props = self._own("props")
-        columns = [F.max(F.when(F.col("key") == k, F.col(f"v_{kind}"))).alias(k) for k, kind in keys.items()]
-        by_name = props.where(F.col("vtype") != "null").groupBy("name").agg(F.lit(1).alias("_"), *columns).drop("_")
-        heat = props.groupBy("name").agg(F.max("T").alias("TEMPERATURA"))
-        return self.names().join(by_name, "name", "left").join(heat, "name", "left")
+        columns = [F.max(F.when((F.col("key") == k) & (F.col("vtype") != "null"), F.col(f"v_{kind}"))).alias(k) for k, kind in keys.items()]
+        by_name = props.groupBy("name").agg(*columns, F.max("T").alias("TEMPERATURA"))
+        return self.names().join(large(by_name), "name", "left")
 
     def shown(self, name: str) -> DataFrame:
         """kind (property or relation), item and value of one entity. Looking heats its atoms."""
@@ -562,7 +574,7 @@ class Store:
         rank = F.row_number().over(Window.partitionBy("item").orderBy("v"))
         few = rows.where("v IS NOT NULL").distinct().withColumn("_n", rank).where("_n <= 3").groupBy("item").agg(F.array_sort(F.collect_list("v")).alias("samples"))
         counted = rows.groupBy("item").agg(F.count("*").alias("rows"))
-        return counted.join(few, "item", "left").select(F.lit(kind).alias("kind"), "item", "rows", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+        return counted.join(large(few), "item", "left").select(F.lit(kind).alias("kind"), "item", "rows", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
     def describe(self) -> DataFrame:
         """kind, item, rows and samples (three at most) of what the store holds."""
@@ -584,7 +596,7 @@ class Store:
 
     def collect_orphans(self) -> int:
         """Drop properties of entities that are gone; returns how many."""
-        gone = materialise(self.table("props").join(self.table("bubbles"), ["ns", "name"], "left_anti").select("ns", "name", "key"), "orphans")
+        gone = materialise(self.table("props").join(large(self.table("bubbles")), ["ns", "name"], "left_anti").select("ns", "name", "key"), "orphans")
         self._end("props", gone)
         return gone.count()
 

@@ -1,5 +1,7 @@
 """Small goldens: the store, predicates, graph, temperature, search, merging, sources and streams."""
 
+import contextlib
+import io
 import math
 import tempfile
 
@@ -349,3 +351,25 @@ def test_coverage_of_copies_and_odd_vectors(spark, monkeypatch):
     got = search.field_coverage(df).collect()
     assert len(got) == len(want) and {r.id: r.leader for r in got} == want
     assert search.field_coverage(df.where("false")).count() == 0
+
+
+def test_what_grows_with_the_store_is_not_broadcast(spark):
+    """Names compress to next to nothing in files, but not in the driver's memory."""
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    store = Store(spark)
+    store.insert_rows(spark.range(50).select(F.concat(F.lit("e"), "id").alias("name"), F.col("id").alias("k")))
+    # Nothing was ended, so no ends are joined.
+    assert "Join" not in plan(store.table("props"))
+    store.begin()
+    store.delete(store.wide(k="num").where("k >= 40").select("name"))
+    assert store.names().count() == 40 and store.wide(k="num").where("k IS NOT NULL").count() == 40
+    assert "Broadcast" not in plan(store.wide(k="num")) and "Join" in plan(store.table("props"))
+    assert store.clone(store.wide(k="num").where("k >= 30").select("name")).count() == 10
+    store.compact()
+    assert "Join" not in plan(store.table("props")) and store.wide(k="num").where("k IS NOT NULL").count() == 50
+    store.rollback()
+    assert store.names().count() == 50 and "Join" not in plan(store.table("props"))
