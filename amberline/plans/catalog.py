@@ -603,8 +603,8 @@ p AS (SELECT x AS y FROM f WHERE p_partkey = 1)
 SELECT p_partkey, CASE WHEN f.s = q.s THEN 1.0 ELSE round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 9) END AS sim FROM f, p, q""")
 def ngram_dice(s, d):
     part = table(s, d, "part").select("p_partkey", "p_name")
-    probe = F.broadcast(part.where("p_partkey = 1").select(col("p_name").alias("q")))
-    return part.join(probe, F.lit(True)).select("p_partkey", F.round(search.surface_similarity(col("p_name"), col("q")), 9).alias("sim"))
+    probe = part.where("p_partkey = 1").select(col("p_name").alias("q"))
+    return search.with_surface_similarity(part, probe, "p_name", "q", "sim").select("p_partkey", F.round("sim", 9).alias("sim"))
 
 
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 9) DESC, vec_id LIMIT 10")

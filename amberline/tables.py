@@ -41,5 +41,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly, for work that is long for a row: Spark cuts tables by the bytes of their files, so
+    that millions of short rows can be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

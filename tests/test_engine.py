@@ -373,3 +373,15 @@ def test_what_grows_with_the_store_is_not_broadcast(spark):
     assert "Join" not in plan(store.table("props")) and store.wide(k="num").where("k IS NOT NULL").count() == 50
     store.rollback()
     assert store.names().count() == 50 and "Join" not in plan(store.table("props"))
+
+
+def test_similarity_of_few_probes(spark):
+    """As surface_similarity; many short rows of one file are dealt out, and probes are worked out before the join."""
+    names = ["large ring", "Large  RING ", "hot bolt", "", None, "10", "10.5", "a"]
+    rows = frame(spark, [(i, x) for i, x in enumerate(names)], "id long, x string").coalesce(1)
+    probes = frame(spark, [(x,) for x in names], "q string").withColumn("p", F.col("q"))
+    got = search.with_surface_similarity(rows, probes, "x", "q")
+    assert got.rdd.getNumPartitions() > 1
+    want = rows.join(frame(spark, [(x,) for x in names], "p string"), F.lit(True)).withColumn("s", search.surface_similarity(F.col("x"), F.col("p")))
+    key = lambda df: sorted(((r.id, r.p, r.s) for r in df.collect()), key=str)
+    assert key(got) == key(want)
