@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSION = 2048
+#: Rows whose vectors are held at once.
+CHUNK = 256
 
 
 def name_vector(name: str, dimension: int = DIMENSION) -> np.ndarray:
@@ -53,6 +55,30 @@ def unbind(c: Column, a: Column) -> Column:
     return of(c, a)
 
 
+def recovery(name: Column, role: Column, dimension: int = DIMENSION) -> Column:
+    """How similar (cosine) a name's vector is to what unbinding gives back of its binding with the role's vector.
+
+    The vectors stay in the worker, CHUNK rows at a time; equal pairs of a batch are worked out once.
+    """
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = pd.DataFrame({"a": a.fillna("").to_numpy(object), "b": b.fillna("").to_numpy(object)})
+        which, distinct = pairs.groupby(["a", "b"], sort=False).ngroup().to_numpy(), pairs.drop_duplicates()
+        out = np.empty(len(distinct))
+        for i in range(0, len(distinct), CHUNK):
+            few = distinct.iloc[i : i + CHUNK]
+            of_role = {r: name_vector(r, dimension) for r in set(few["b"])}
+            p, q = np.stack([name_vector(x, dimension) for x in few["a"]]), np.stack([of_role[r] for r in few["b"]])
+            fq = np.fft.rfft(q, axis=1)
+            bound = np.fft.irfft(np.fft.rfft(p, axis=1) * fq, n=dimension, axis=1)
+            back = np.fft.irfft(np.fft.rfft(bound, axis=1) * np.conj(fq), n=dimension, axis=1)
+            out[i : i + CHUNK] = (p * back).sum(axis=1) / (np.linalg.norm(p, axis=1) * np.linalg.norm(back, axis=1))
+        return pd.Series(out[which])
+
+    return of(name, role)
+
+
 def bundle(*vectors: Column) -> Column:
     out = vectors[0]
     for v in vectors[1:]:

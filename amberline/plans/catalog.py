@@ -12,7 +12,7 @@ from amberline.functions import scalars as X
 from amberline.operators import graph, merge, relational, search, thermal
 from amberline.operators.store import Store
 from amberline.streaming import streams
-from amberline.tables import materialise, table
+from amberline.tables import materialise, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -643,9 +643,8 @@ def hrr_bind_unbind(s, d):
     from amberline.packaging import ship
 
     ship(s)
-    v = table(s, d, "part").select("p_partkey", vectors.vector_of(col("p_name")).alias("a"), vectors.vector_of(F.lit("role")).alias("b"))
-    back = v.select("p_partkey", "a", vectors.unbind(vectors.bind(col("a"), col("b")), col("b")).alias("back"))
-    return back.select("p_partkey", F.round(search.cosine(col("a"), col("back")), 6).alias("sim"))
+    part = spread(table(s, d, "part").select("p_partkey", "p_name"))
+    return part.select("p_partkey", F.round(vectors.recovery(col("p_name"), F.lit("role")), 6).alias("sim"))
 
 
 @query("SELECT c_name AS name, round(CAST(0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) AS DOUBLE), 6) AS R FROM customer WHERE 0.3 / (0.09 + power(abs(c_acctbal - 1000) / 1000, 2)) >= 0.15")

@@ -385,3 +385,13 @@ def test_similarity_of_few_probes(spark):
     want = rows.join(frame(spark, [(x,) for x in names], "p string"), F.lit(True)).withColumn("s", search.surface_similarity(F.col("x"), F.col("p")))
     key = lambda df: sorted(((r.id, r.p, r.s) for r in df.collect()), key=str)
     assert key(got) == key(want)
+
+
+def test_recovery(spark):
+    """As binding and unbinding in columns, also over batches with equal names and over several chunks."""
+    rows = frame(spark, [(f"n{i % 300}" if i % 7 else None, "r" if i % 2 else "s") for i in range(650)], "a string, r string").coalesce(1)
+    got = rows.select("a", "r", F.round(vectors.recovery(F.col("a"), F.col("r"), 64), 6).alias("s"))
+    v = rows.distinct().select("a", "r", vectors.vector_of(F.col("a"), 64).alias("x"), vectors.vector_of(F.col("r"), 64).alias("y"))
+    want = v.select("a", "r", F.round(search.cosine(F.col("x"), vectors.unbind(vectors.bind(F.col("x"), F.col("y")), F.col("y"))), 6).alias("s"))
+    want = {(r.a, r.r): r.s for r in want.collect()}
+    assert got.count() == 650 and all(abs(r.s - want[r.a, r.r]) < 2e-6 for r in got.collect())
