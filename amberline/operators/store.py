@@ -70,11 +70,18 @@ def large(side: DataFrame) -> DataFrame:
     return side.hint("merge")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out by a hash of all they hold, so that what is written next has a file, and reading it a task, for
+    each core; a table that comes as one file would stay in one. Adaptive execution puts small parts together."""
+    return rows.repartition(*[F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def first_free(wanted: DataFrame, used: DataFrame) -> DataFrame:
-    """stem and n for each stem of `wanted`: the smallest number from 1 that `used` (stem, n) lacks."""
-    used = used.join(large(wanted), "stem", "left_semi").distinct()
-    candidates = wanted.select("stem", F.lit(1).alias("n")).unionByName(used.select("stem", (F.col("n") + 1).alias("n")))
-    return candidates.join(large(used), ["stem", "n"], "left_anti").groupBy("stem").agg(F.min("n").alias("n"))
+    """stem and n for each stem of `wanted`: the smallest number from 1 that `used` (stem, n) lacks. Wanted stems use 0
+    too; a number that all smaller ones come before is then its place."""
+    both = wanted.select("stem", F.lit(0).alias("n")).unionByName(used.select("stem", "n").where("n >= 1"))
+    placed = both.withColumn("_place", F.dense_rank().over(Window.partitionBy("stem").orderBy("n")) - 1)
+    return placed.where("n = _place").groupBy("stem").agg((F.max("n") + 1).alias("n"))
 
 
 class StoreError(ValueError):
@@ -102,6 +109,8 @@ class Store:
         self.bases: dict[str, str | None] = dict.fromkeys(LOGS)
         #: Tables in which something was ended since they were compacted; others need no look at ends.
         self.ended: frozenset[str] = frozenset()
+        #: Tables in which a key may have several rows; in others each row is the last of its key.
+        self.repeated: frozenset[str] = frozenset()
         self.views: dict[str, Callable[[Store], DataFrame]] = {}
         self.indexes: set[str] = set()
         self.rules: list[tuple[str, str, Callable | None]] = []
@@ -149,6 +158,8 @@ class Store:
             old = rows.where((F.col("op") != "remove") & (own | F.col("_next").isNotNull()))
             return old.select("ns", "name", "key", status.alias("status"), "v_text", "ts", F.col("_n").alias("seq"))
         names = columns(SCHEMAS[name])
+        if name not in self.repeated:
+            return (self._living(of) if name == "props" else self._log(name, of)).select(*names)
         if name == "props":
             rest = [c for c in names if c not in ("ns", "name", "key")]
             last = self._living(of).groupBy("ns", "name", "key").agg(F.max_by(F.struct("op", *rest), F.struct("seq", "sub")).alias("r"))
@@ -170,9 +181,11 @@ class Store:
             empty = self.spark.read.schema(LOGS[t]).parquet(path).isEmpty()
             self.bases[t], self.folders[t] = None if empty else path, ()
         self.ended = frozenset()
+        self.repeated &= {"props"}  # with old values
 
     def load_tables(self, tables: dict[str, DataFrame]) -> None:
         """Take over bubbles, props, rels and history as `table` gives them."""
+        self.repeated |= set(LOGS)
         self._seq += 1
         now = F.lit(self._seq).cast("long")
         for t in ("bubbles", "rels"):
@@ -184,7 +197,7 @@ class Store:
         self.namespaces |= {r.ns for r in tables["bubbles"].select("ns").distinct().collect()}
 
     def _state(self) -> tuple:
-        return self.ns, dict(self.folders), dict(self.bases), self.ended, dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)
+        return self.ns, dict(self.folders), dict(self.bases), self.ended, self.repeated, dict(self.views), set(self.indexes), list(self.rules), set(self.namespaces)
 
     def begin(self) -> None:
         self._saved.append(self._state())
@@ -193,7 +206,7 @@ class Store:
         self._saved.pop()
 
     def rollback(self) -> None:
-        self.ns, self.folders, self.bases, self.ended, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
+        self.ns, self.folders, self.bases, self.ended, self.repeated, self.views, self.indexes, self.rules, self.namespaces = self._saved.pop()
 
     def transaction(self, *steps: Callable[[Store], object]) -> list:
         """All steps or none."""
@@ -280,10 +293,11 @@ class Store:
         data = [(name, key, *typed(value)) for name, key, value in rows]
         return self.spark.createDataFrame(data, "name string, key string, vtype string, v_text string, v_num double, v_bool boolean, v_json string")
 
-    def _write(self, new: DataFrame, order: list[str] = ()) -> int:
+    def _write(self, new: DataFrame, order: list[str] = (), fresh: bool = False) -> int:
         """Set properties (name, key and value columns); what they replace is history. Of several values for one key
-        in one statement the last by `order` holds."""
+        in one statement the last by `order` holds. `fresh` says that the entities are new and no key comes twice."""
         new = self._checked(materialise(new, "new")) if self.rules else new
+        self.repeated |= set() if fresh else {"props"}
         now = int(time.time() * 1000)
         self._seq += 1
         sub = F.row_number().over(Window.partitionBy("name", "key").orderBy(*order)) if order else F.lit(0)
@@ -298,13 +312,14 @@ class Store:
         missing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in LOGS[table].split(", ") if c.split()[0] not in have | {"bucket"}}
         self._append(table, rows.withColumns(missing | marks))
         self.ended |= {table}
+        self.repeated |= {table}
 
     def create(self, *names: str) -> None:
         self.create_all(self.spark.createDataFrame([(n,) for n in names], "name string"))
 
     def create_all(self, names: DataFrame) -> None:
-        clash = names.join(large(self._own("bubbles").select("name")), "name", "left_semi")
-        if not clash.isEmpty() or not names.groupBy("name").count().where("count > 1").isEmpty():
+        both = names.select("name", F.lit(True).alias("new")).unionByName(self._own("bubbles").select("name", F.lit(False).alias("new")))
+        if not both.groupBy("name").agg(F.count("*").alias("rows"), F.max("new").alias("new")).where("new AND rows > 1").isEmpty():
             raise StoreError("an entity of that name exists")
         self._seq += 1
         self._append("bubbles", names.select(F.lit(self.ns).alias("ns"), "name", F.lit(self._seq).cast("long").alias("seq"), F.lit("set").alias("op")))
@@ -318,19 +333,20 @@ class Store:
         nulls are none."""
         first, *others = rows.columns
         named = F.col(first).isNotNull() & ~F.upper(F.trim(F.col(first).cast("string"))).isin(*NULLS)
-        rows = materialise(rows.where(named), "rows")
+        rows = materialise(dealt(rows.where(named)), "rows")
         self.create_all(rows.select(F.col(first).cast("string").alias("name")))
         if others:
-            self._write(self._unpivot(rows, first, others))
+            self._write(self._unpivot(rows, first, others), fresh=True)
         return rows.count()
 
     def set_rows(self, rows: DataFrame, order: list[str] = ()) -> int:
         """Properties of entities that the first column names; names that are not known are created. Rows that repeat a
         name are versions, in the order of the columns `order`, which are no properties."""
         first, *others = rows.columns
-        rows = materialise(rows, "rows")
+        rows = materialise(dealt(rows), "rows")
         names = rows.select(F.col(first).cast("string").alias("name")).distinct()
-        self.create_all(names.join(large(self._own("bubbles").select("name")), "name", "left_anti"))
+        known = self._own("bubbles").select(F.col("name").alias("_known"))
+        self.create_all(names.join(large(known), F.col("name").eqNullSafe(F.col("_known")), "left_anti"))
         return self._write(self._unpivot(rows, first, [c for c in others if c not in order], list(order)), list(order))
 
     def merge_rows(self, rows: DataFrame, on: str) -> int:
@@ -410,8 +426,8 @@ class Store:
     def clone(self, names: DataFrame, suffix: str = "_kopia") -> DataFrame:
         """Copies of entities with their properties and outgoing relations, under names with a suffix and, from the second
         copy on, the first number that is free."""
-        names = names.select(F.col(names.columns[0]).alias("name")).distinct()
-        own = self._own("bubbles").select(F.col("name").alias("taken"))
+        names = names.select(F.col(names.columns[0]).alias("name")).where("name IS NOT NULL").distinct()
+        own = self._own("bubbles").select(F.col("name").alias("taken")).where(F.col("taken").contains(suffix))
         stem = F.regexp_extract("taken", rf"^(.*){suffix}(_(\d+))?$", 1)
         number = F.when(F.col("taken").endswith(suffix), 1).otherwise(F.regexp_extract("taken", rf"{suffix}_(\d+)$", 1).try_cast("int"))
         used = own.select(stem.alias("stem"), number.alias("n")).where("stem <> '' AND n IS NOT NULL")
@@ -419,10 +435,13 @@ class Store:
         new = free.select(F.col("stem").alias("name"), F.concat("stem", F.lit(suffix), F.when(F.col("n") > 1, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("copy"))
         new = materialise(new, "copies")
         props = self._own("props").join(large(new), "name").select(F.col("copy").alias("name"), "key", *VALUE)
-        rels = materialise(self._own("rels").join(large(new), F.col("source") == F.col("name")).select(F.col("copy").alias("source"), "relation", "target"), "relations")
+        related = bool(self.bases["rels"] or self.folders["rels"])
+        if related:
+            rels = materialise(self._own("rels").join(large(new), F.col("source") == F.col("name")).select(F.col("copy").alias("source"), "relation", "target"), "relations")
         self.create_all(new.select(F.col("copy").alias("name")))
-        self._write(props)
-        self.connect_all(rels)
+        self._write(props, fresh=True)
+        if related:
+            self.connect_all(rels)
         return new.select(F.col("copy").alias("name"))
 
     def remove(self, name: str, key: str) -> None:
@@ -431,6 +450,7 @@ class Store:
         self._seq += 1
         now = self._own("props", name).where(F.col("key") == key)
         self._append("props", now.withColumns({"seq": F.lit(self._seq).cast("long"), "sub": F.lit(0).cast("long"), "op": F.lit("remove")}))
+        self.repeated |= {"props"}
 
     def delete(self, where: DataFrame | str) -> int:
         """Entities with their properties, their history and the relations from and to them."""
@@ -471,6 +491,7 @@ class Store:
         self._seq += 1
         order = F.row_number().over(Window.partitionBy("ns", "name", "key").orderBy("seq", "sub"))
         self._append("props", rows.withColumn("sub", order.cast("long")).withColumn("seq", F.lit(self._seq).cast("long")))
+        self.repeated |= {"props"}
 
     def connect(self, source: str, target: str, relation: str) -> None:
         self._known(source)
@@ -480,6 +501,7 @@ class Store:
     def connect_all(self, edges: DataFrame) -> None:
         self._seq += 1
         self._append("rels", edges.select(F.lit(self.ns).alias("ns"), "source", "relation", "target", F.lit(self._seq).cast("long").alias("seq"), F.lit("set").alias("op")))
+        self.repeated |= {"rels"}
 
     def disconnect(self, source: str, target: str, relation: str) -> None:
         self._end("rels", self.spark.createDataFrame([(self.ns, source, relation, target)], SCHEMAS["rels"]))
@@ -489,6 +511,7 @@ class Store:
         self._seq += 1
         joined = self._own("props").join(large(gains), "name").withColumn("T", clamped(F.col("T") + F.coalesce("energy", F.lit(0.0))))
         self._append("props", joined.withColumns({"seq": F.lit(self._seq).cast("long"), "sub": F.lit(0).cast("long"), "op": F.lit("heat")}))
+        self.repeated |= {"props"}
 
     # --- reading ---
 
@@ -508,10 +531,11 @@ class Store:
     def wide(self, **keys: str) -> DataFrame:
         """One row for each entity: name, TEMPERATURA, and the given properties as columns of a kind (text, num, bool,
         json). Missing properties are null."""
-        props = self._own("props")
+        props = self._own("props").where("name IS NOT NULL").withColumn("_there", F.lit(False))
+        both = props.unionByName(self.names().withColumn("_there", F.lit(True)), allowMissingColumns=True)
         columns = [F.max(F.when((F.col("key") == k) & (F.col("vtype") != "null"), F.col(f"v_{kind}"))).alias(k) for k, kind in keys.items()]
-        by_name = props.groupBy("name").agg(*columns, F.max("T").alias("TEMPERATURA"))
-        return self.names().join(large(by_name), "name", "left")
+        by_name = both.groupBy("name").agg(F.max("_there").alias("_there"), *columns, F.max("T").alias("TEMPERATURA"))
+        return by_name.where("_there").drop("_there")
 
     def shown(self, name: str) -> DataFrame:
         """kind (property or relation), item and value of one entity. Looking heats its atoms."""

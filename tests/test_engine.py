@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from amberline.functions import predicates as P
 from amberline.functions import scalars as X
 from amberline.operators import graph, merge, relational, search, thermal, vectors
-from amberline.operators.store import Store, StoreError
+from amberline.operators.store import Store, StoreError, first_free
 from amberline.sources import csv, media, world
 from amberline.streaming import streams
 
@@ -375,6 +375,66 @@ def test_what_grows_with_the_store_is_not_broadcast(spark):
     assert store.names().count() == 50 and "Join" not in plan(store.table("props"))
 
 
+def test_new_entities_are_read_as_they_were_written(spark):
+    """The last row of a key is looked for only once a key can have several; a table of one file is dealt out."""
+    def plan(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        return out.getvalue()
+
+    def single(store, table):
+        return "Aggregate" not in plan(store.table(table))
+
+    def content(store):
+        return sorted(values(store.wide(k="num"), "name", "k"))
+
+    conf = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(conf, "1b")
+    try:
+        store = Store(spark)
+        store.insert_rows(spark.range(20).select(F.concat(F.lit("e"), "id").alias("name"), F.col("id").alias("k")).coalesce(1))
+        assert all(len(spark.read.parquet(store.folders[t][0]).inputFiles()) > 1 for t in ("bubbles", "props"))
+    finally:
+        spark.conf.unset(conf)
+    store.clone(store.wide(k="num").where("k >= 15").select("name"))
+    store.clone(store.wide(k="num").where("k >= 18 AND name NOT LIKE '%kopia'").select("name"))
+    want = sorted([(f"e{i}", float(i)) for i in range(20)] + [(f"e{i}_kopia", float(i)) for i in range(15, 20)] + [(f"e{i}_kopia_2", float(i)) for i in (18, 19)])
+    assert content(store) == want and single(store, "props") and single(store, "bubbles") and "Join" not in plan(store.wide(k="num"))
+    # Ended and made again: what was there before is not seen.
+    store.begin()
+    store.delete(store.names().where("name IN ('e1', 'e2')"))
+    store.insert_rows(frame(spark, [("e1", 100)], "name string, k int"))
+    assert content(store) == sorted([("e1", 100.0)] + [x for x in want if x[0] not in ("e1", "e2")]) and not single(store, "bubbles")
+    store.compact()
+    assert single(store, "props") and single(store, "bubbles") and store.names().count() == 26
+    store.rollback()
+    assert content(store) == want and single(store, "bubbles")
+    # Set once more, heated, renamed, removed or taken over: the last row holds.
+    for step in (
+        lambda s: s.update("e3", "k", 3), lambda s: s.insert("e3", k=3), lambda s: s.excite(frame(spark, [("e3", 1.0)], "name string, energy double")), lambda s: s.set_rows(frame(spark, [("e3", 3)], "name string, k int")),
+        lambda s: (s.rename("e3", "x"), s.rename("x", "e3")), lambda s: (s.rename_property("e3", "k", "j"), s.rename_property("e3", "j", "k")), lambda s: (s.remove("e3", "k"), s.insert("e3", k=3)),
+        lambda s: s.load_tables({t: s.table(t) for t in ("bubbles", "props", "rels", "history")}),
+    ):
+        store.begin()
+        step(store)
+        assert content(store) == want and not single(store, "props")
+        store.compact()
+        assert content(store) == want and not single(store, "props") and single(store, "bubbles")
+        store.rollback()
+        assert single(store, "props")
+
+
+def test_first_free_numbers(spark):
+    """Gaps, repeated numbers, zero, and stems that are used but not wanted."""
+    used = frame(spark, [("a", 1), ("a", 2), ("a", 4), ("b", 2), ("d", 0), ("d", 1), ("d", 1), ("d", 2), ("e", 0), ("e", 1)], "stem string, n int")
+    got = first_free(frame(spark, [(x,) for x in "abcd"], "stem string"), used)
+    assert sorted(values(got, "stem", "n")) == [("a", 3), ("b", 1), ("c", 1), ("d", 3)] and "Join" not in got._jdf.queryExecution().toString()
+    store = Store(spark)
+    for _ in range(2):  # as before, rows without a name make one nameless entity
+        store.set_rows(frame(spark, [(None, 1), ("a", 1)], "name string, k int"))
+    assert sorted(values(store.names(), "name"), key=str) == [None, "a"] and values(store.clone(store.names()), "name") == ["a_kopia"]
+
+
 def test_similarity_of_few_probes(spark):
     """As surface_similarity; many short rows of one file are dealt out, and probes are worked out before the join."""
     names = ["large ring", "Large  RING ", "hot bolt", "", None, "10", "10.5", "a"]
